@@ -7,13 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm.decontaminate import WINDOW, contamination
+from strata.llm.language import predict_language, train_language_model
 from strata.llm.licenses import scan_licenses
+from strata.llm.quality import score_quality, train_quality_model
+from strata.llm.toxicity import score_toxicity, train_toxicity_model
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return predict_language(docs, train_language_model(docs))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity_model(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality_model(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
