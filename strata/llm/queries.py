@@ -10,6 +10,9 @@ from strata.llm.decontaminate import WINDOW, contamination
 from strata.llm.language import predict_language, train_language_model
 from strata.llm.licenses import scan_licenses
 from strata.llm.quality import score_quality, train_quality_model
+from strata.llm.sharding import shard_documents
+from strata.llm.tokens import tokenize_to_files
+from strata.llm.topk import top_k
 from strata.llm.toxicity import score_toxicity, train_toxicity_model
 
 
@@ -27,6 +30,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train_toxicity_model(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return score_quality(docs, train_quality_model(docs, _table(spark, sf_dir, "labels")))
@@ -36,10 +43,20 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenize_to_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -102,5 +119,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hit_words USING (r) LEFT JOIN items USING (r)"""
 
 
+_OP9_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score,
+    row_number() OVER (PARTITION BY q.r ORDER BY list_inner_product(q.e, v.e) DESC, v.vec_id) AS rank
+  FROM v AS q, v WHERE q.vec_id % 50 = 0 AND q.r <> v.r)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM s WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licenses": _op6_sql(), "op8_decontamination": _OP8_SQL}
+    return {"op6_licenses": _op6_sql(), "op8_decontamination": _OP8_SQL, "op9_top_k": _OP9_SQL}
