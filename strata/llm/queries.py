@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strata.llm.decontaminate import WINDOW, contamination
 from strata.llm.language import predict_language, train_language_model
 from strata.llm.licenses import scan_licenses
+from strata.llm.near_duplicates import near_duplicates
 from strata.llm.quality import score_quality, train_quality_model
 from strata.llm.sharding import shard_documents
 from strata.llm.tokens import tokenize_to_files
@@ -57,6 +58,10 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
