@@ -16,6 +16,7 @@ import pickle
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -36,10 +37,24 @@ State = tuple[int, int, int]
 Matrix = dict[State, dict[State, float]]
 
 
+class _Words(dict):
+    """Ids of a word after one mark, by the word, found when first asked for."""
+
+    def __init__(self, lattice: Lattice, items: Iterable[tuple[str, bytes]]) -> None:
+        super().__init__(items)
+        self.lattice = lattice
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.lattice.word(SPACE + word)
+        if len(word) <= 64:
+            self[word] = got
+        return got
+
+
 class Lattice:
     """Pieces of a model, their compatibility, and shortest paths between states."""
 
-    MOST = 500_000
+    MOST = 800_000
 
     def __init__(self, model: bytes) -> None:
         import sentencepiece
@@ -64,7 +79,8 @@ class Lattice:
             raise ValueError("pieces reach over the start of a word")
         self.pairs: dict[int, dict[int, bool]] = {}
         self.n_pairs = 0
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self, ())
+        self.tails: dict[str, bytes] = {}
         #: Every beginning of a piece: the piece's id, or PREFIX if it is none or can never come out of merging.
         self.table: dict[str, int] = {}
         for p, k in self.ids.items():
@@ -158,32 +174,36 @@ class Lattice:
 
     def word(self, w: str) -> bytes:
         """Ids of a word that starts with word-start marks, or of a text's beginning without any."""
-        got = self.words.get(w)
-        if got is None:
-            if len(self.words) > self.MOST:
-                self.words.clear()
-            m = self.tail.fullmatch(w)
-            got = self.word(m[1]) + self.word(m[2]) if m else self.spelled(w, self.trace(w, self.forward(w, 0, len(w), None), 0, len(w)))
-            if len(w) <= 64:
-                self.words[w] = got
-        return got
+        m = self.tail.fullmatch(w)
+        if m is None:
+            return self.spelled(w, self.trace(w, self.forward(w, 0, len(w), None), 0, len(w)))
+        body = self.words[m[1][1:]] if m[1][:1] == SPACE and m[1][1:2] != SPACE else self.word(m[1])
+        if m[2] not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[m[2]] = self.word(m[2])
+        return body + self.tails[m[2]]
 
     def run(self, text: str) -> bytes:
-        """Ids of a stretch that begins and ends at word starts."""
+        """Ids of a stretch that begins with a mark at a word start (or is a text's beginning) and ends at a word start."""
         parts = text.split(SPACE)
-        get, word = self.words.get, self.word
-        if "" not in parts[1:]:
-            out = [get(w) or word(w) for w in [SPACE + p for p in parts[1:]]]
-            return b"".join(([word(parts[0])] if parts[0] else []) + out)
-        out, marks = [word(parts[0])] if parts[0] else [], 0
-        for p in parts[1:]:
-            marks += 1
-            if p:
-                out.append(word(SPACE * marks + p))
-                marks = 0
-        if marks:
-            out.append(word(SPACE * marks))
-        return b"".join(out)
+        head = self.word(parts[0]) if parts[0] else b""
+        del parts[0]
+        if "" not in parts:
+            out = head + b"".join(map(self.words.__getitem__, parts))
+        else:
+            made, marks = [head], 0
+            for p in parts:
+                marks += 1
+                if p:
+                    made.append(self.words[p] if marks == 1 else self.word(SPACE * marks + p))
+                    marks = 0
+            if marks:
+                made.append(self.word(SPACE * marks))
+            out = b"".join(made)
+        if len(self.words) > self.MOST:  # the older half goes
+            self.words = _Words(self, islice(self.words.items(), len(self.words) // 2, None))
+        return out
 
     # --- chunks: text holds up to `longest` characters of context on both sides; a and b are its cuts ---
 
