@@ -21,11 +21,14 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,8 @@ FILE_BYTES = 64 << 20
 RESTART = 16
 HASHES = 7
 BITS_A_KEY = 10
+#: Fixed value: the splitting rule that the short way knows.
+LETTER_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 # --- files -----------------------------------------------------------------
@@ -219,35 +224,70 @@ def _tokenizer(definition: str):
     return Tokenizer.from_str(definition)
 
 
+#: A piece of letters that composed normalisation leaves alone, then marks that are tokens of their own.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^`{|}~]*)")
+
+
+class _Known(dict):
+    """Ids by piece, found when first asked for."""
+
+    def __init__(self, find: Callable[[bytes], bytes], items: Iterable[tuple[bytes, bytes]]) -> None:
+        super().__init__(items)
+        self.find = find
+
+    def __missing__(self, piece: bytes) -> bytes:
+        got = self[piece] = self.find(piece)
+        return got
+
+
 class WordCache:
     """Token ids of white-space-separated pieces, by the tokenizers library, each distinct piece once.
 
-    Right for tokenizers that drop white space and never look across it, as word-level BPE files do.
+    Right for tokenizers that drop white space and never look across it, as word-level BPE files do. Where the file's rules are
+    known (lower case, letters apart from marks, byte-level characters), plain words go straight to the library's BPE model;
+    every other piece goes through its whole chain.
     """
 
-    MOST = 600_000
+    MOST = 800_000
 
     def __init__(self, definition: str) -> None:
         self.tokenizer = _tokenizer(definition)
+        self.model = self.tokenizer.model
         self.token_bytes = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.token_bytes}")
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known(self.ids, ())
         self.end = np.array([END_ID], self.dtype).tobytes()
+        self.pack = struct.Struct("<H" if self.token_bytes == 2 else "<I").pack
+        rules = json.loads(definition)
+        kinds = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers", [])]
+        split = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.plain = kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in split] == ["Split", "ByteLevel"] and split[0]["pattern"] == {"Regex": LETTER_RULE}
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        spell = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {ord(c): spell.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(33, 127), *range(0xDF, 0x100)])} if self.plain else {}
+
+    def ids(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        m = _PLAIN.fullmatch(text) if self.plain else None
+        if m is None:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        out = b"".join([self.pack(t.id) for t in self.model.tokenize(m[1].lower().translate(self.spelling))])
+        if m[2]:
+            marks = m[2].encode()
+            if marks not in self.known:
+                self.known[marks] = b"".join([self.pack(t.id) for t in self.model.tokenize(m[2])])
+            out += self.known[marks]
+        return out
 
     def encode(self, texts: Iterable[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = set().union(*split) - self.known.keys()
-        if new:
-            if len(self.known) + len(new) > self.MOST:
-                self.known = {}
-                new = set().union(*split)
-            new = list(new)
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    self.known[w] = np.array(e.ids, self.dtype).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) + self.end for words in split]
+        known, out = self.known, []
+        for t in texts:
+            words = t.split()
+            out.append(b"".join(map(known.__getitem__, words)) + self.end)
+            if len(known) > self.MOST:  # the older half goes
+                known = self.known = _Known(self.ids, islice(known.items(), len(known) // 2, None))
+        return out
 
 
 _CACHES: dict[int, WordCache] = {}
