@@ -51,18 +51,20 @@ def _is_inside(path: Path, outer: Path) -> bool:
     return path[: len(outer)] == outer
 
 
-def _exploded(df: DataFrame, target: Path, keep: dict[str, Column]) -> tuple[DataFrame, Path | None]:
-    """df exploded along all arrays of a granularity: the kept columns and one column named by the path."""
+def _exploded(df: DataFrame, target: Path, keep: list[str]) -> tuple[DataFrame, Path]:
+    """df exploded along all arrays of a granularity: one column named by the path, and the kept ones from levels above."""
     at: Path = ()
+    there: list[str] = []
     for k, s in enumerate(target):
         if s is not EACH:
             continue
         path = target[: k + 1]
-        source = _from(at, target[:k])
-        kept = [c.alias(n) for n, c in keep.items()] if not at else [F.col(quote(n)) for n in keep]
-        df = df.select(*kept, F.explode(source).alias(text(path)))
+        new = [n for n in keep if n not in there and granularity_of(parse(n)) == at]
+        carried = [*(F.col(quote(n)) for n in there), *(_from(at, parse(n)).alias(n) for n in new)]
+        df = df.select(*carried, F.explode(_from(at, target[:k])).alias(text(path)))
+        there += new
         at = path
-    return df, at or None
+    return df, at
 
 
 def _from(base: Path, path: Path) -> Column:
@@ -88,12 +90,10 @@ def unnest_fields(df: DataFrame, fields: str | Iterable[str], keep_fields: Itera
         groups.setdefault(granularity_of(parse(n)), []).append(n)
     out = {}
     for target, own in groups.items():
-        keep = {n: _from((), parse(n)) for n in keep_names if not any(is_sub_field_or_equal(f, n) for f in own)}
-        if not target:
-            out[""] = df.select(*(c.alias(n) for n, c in keep.items()), *(_from((), parse(n)).alias(n) for n in own))
-            continue
+        keep = [n for n in keep_names if not any(is_sub_field_or_equal(f, n) for f in own) and _is_inside(target, granularity_of(parse(n)))]
         exploded, at = _exploded(df, target, keep)
-        out[text(target)] = exploded.select(*(F.col(quote(n)) for n in keep), *(_from(at, parse(n)).alias(n) for n in own))
+        here = [n for n in keep if granularity_of(parse(n)) == target]
+        out[text(target)] = exploded.select(*(_from(at, parse(n)).alias(n) if n in here else F.col(quote(n)) for n in keep), *(_from(at, parse(n)).alias(n) for n in own))
     return out
 
 
