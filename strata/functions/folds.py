@@ -41,10 +41,10 @@ def aggregate(field_name: str, initial_value: str | Column, merge: Callable[[Col
         array = _member(value, rest[:k]) if k else value
         inner = rest[k + 1 :]
         elements = array if not inner and start is None else F.transform(array, lambda x: fold(x, inner))
-        return F.aggregate(elements, zero, merge)
+        return F.aggregate(elements, zero, lambda acc, x: merge(acc, x))
 
     out = fold(starting_level, path)
-    return F.aggregate(F.array(out), zero, merge, finish) if finish else out
+    return F.aggregate(F.array(out), zero, lambda acc, x: merge(acc, x), finish) if finish else out
 
 
 def _accumulator(field_name: str, level: Column | DataFrame | None) -> str:
