@@ -185,7 +185,8 @@ def train_language_model(docs: DataFrame, dims: int = DIMS, max_rows: int = MAX_
         z = np.array([val @ w[idx] + w[-1] for (idx, val), s in zip(rows, spare, strict=True) if s])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((w[:-1], w[-1], fit_temperature(z, y[spare])))], pa.binary())], names=["model"])
 
-    weights, bias, temperature = pickle.loads(sample.repartition(1).mapInArrow(fit, "model binary").first()[0])
+    row = sample.repartition(1).mapInArrow(fit, "model binary").first()
+    weights, bias, temperature = pickle.loads(row[0]) if row else (np.zeros((dims, len(languages))), np.zeros(len(languages)), 1.0)
     return LanguageModel(languages, idf, weights, bias, temperature)
 
 

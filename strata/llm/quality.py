@@ -163,6 +163,10 @@ class QualityModel:
         return predict_logistic(self.aggregate(self.marginals(x, first), lengths, first), self.calibration)
 
 
+def _untrained() -> QualityModel:
+    return QualityModel(np.zeros(3 * K + 3), np.zeros((2, 2)), np.zeros(2))
+
+
 def fit_crf(x: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 200, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Conditional maximum likelihood by full-batch Adam; y is a label for each line. Chains count alike, not by length."""
     f = with_neighbours(x, first)
@@ -200,7 +204,7 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_
             lens.append(lengths)
             sizes.append(np.diff(first))
             y += batch.column(1).to_pylist()
-        model = QualityModel(np.zeros(3 * K + 3), np.zeros((2, 2)), np.zeros(2))
+        model = _untrained()
         if y:
             x, lengths, y = np.vstack(xs), np.concatenate(lens), np.array(y)
             size = np.concatenate(sizes)
@@ -209,7 +213,8 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_
             model.calibration = fit_logistic(model.aggregate(model.marginals(x, first), lengths, first), y.astype(float))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    return pickle.loads(sample.repartition(1).mapInArrow(fit, "model binary").first()[0])
+    row = sample.repartition(1).mapInArrow(fit, "model binary").first()
+    return pickle.loads(row[0]) if row else _untrained()
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -118,7 +118,7 @@ class Lexicon:
 class Scorer:
     """Features of texts; remembers which words hit."""
 
-    NAMES = ("direct", "density", "quoted", "distinct", "repeated", "words", "any")
+    NAMES = ("direct", "density", "quoted", "distinct", "repeated", "any")  # no length: long texts are not worse
 
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon = lexicon
@@ -142,7 +142,7 @@ class Scorer:
         bad = distinct & self.hits.keys()
         n = len(words)
         if not bad:
-            return (0.0, 0.0, 0.0, 0.0, 0.0, math.log1p(n), 0.0)
+            return (0.0,) * len(self.NAMES)
         quoted_spans = [m.span(1) for m in _QUOTED.finditer(lowered)]
         direct = quoted = 0.0
         terms: Counter = Counter()
@@ -161,7 +161,7 @@ class Scorer:
                     terms[term] += 1
             k += 1
         most = max(terms.values(), default=0)
-        return (math.log1p(direct), math.log1p(100 * direct / max(n, 1)), math.log1p(quoted), math.log1p(len(terms)), math.log1p(most), math.log1p(n), float(direct > 0))
+        return (math.log1p(direct), math.log1p(100 * direct / max(n, 1)), math.log1p(quoted), math.log1p(len(terms)), math.log1p(most), float(direct > 0))
 
 
 def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, least_docs: int = 5) -> tuple[Lexicon, int]:
@@ -242,7 +242,8 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, max_rows: int = MAX
         w = fit_logistic(np.array(x, float).reshape(len(y), len(Scorer.NAMES)), np.array(y, float))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(w)], pa.binary())], names=["w"])
 
-    return ToxicityModel(lexicon, pickle.loads(sample.repartition(1).mapInArrow(fit, "w binary").first()[0]))
+    row = sample.repartition(1).mapInArrow(fit, "w binary").first()
+    return ToxicityModel(lexicon, pickle.loads(row[0]) if row else np.zeros(len(Scorer.NAMES) + 1))
 
 
 def _scores(model: ToxicityModel, scorer: Scorer, texts: list[str | None]) -> np.ndarray:
