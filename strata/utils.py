@@ -30,8 +30,13 @@ def str_to_col(col: str | Column) -> Column:
 
 
 def strip_margin(text: str) -> str:
-    """Text without everything up to the first | of each line, and without the lines around it."""
-    return re.sub(r"\n *\|", "\n", text.strip(" ")).strip("\n")
+    """Each line without what stands before its first |; blank lines around the text go too."""
+    lines = text.split("\n")
+    if not lines[0].strip():
+        del lines[0]
+    if lines and not lines[-1].strip():
+        del lines[-1]
+    return "\n".join(re.sub(r"^\s*\|", "", x) for x in lines)
 
 
 def get_instantiated_spark_session() -> SparkSession:
