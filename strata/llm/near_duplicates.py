@@ -31,11 +31,15 @@ from strata.llm.common import LOWER, NONSPACE, bytes_of, cut, mix, ship_package,
 SHINGLE = 4
 SIMILARITY = 85
 #: Share of the hash space in which shingles are counted; prefixes of most sets lie inside it.
-COUNTED = 1 << 62
+COUNTED = 3 << 60
+BUCKETS = 256
 #: Distinct nodes, modulo 64, from which a shingle counts as frequent.
-FREQUENT_BITS = 20
+FREQUENT_BITS = 4
+SMALL_BUCKET = 32
 LEAST_BITMAP, MOST_BITMAP = 1 << 16, 1 << 26
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
+#: Links that one task may unite; more go through distributed rounds.
+FEW_LINKS = 500_000
 _TEXT = 2 << 20
 U = np.uint64
 
@@ -89,6 +93,18 @@ def nodes_of(s: np.ndarray, offsets: np.ndarray, seed: int) -> tuple[np.ndarray,
     return mix(a).view(np.int64), mix(b).view(np.int64)
 
 
+def sketches(s: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """How many shingles of each set fall into each of BUCKETS parts of the hash space, 255 for more.
+
+    The sum over parts of the smaller count bounds an intersection from above.
+    """
+    n = len(offsets) - 1
+    doc = np.repeat(np.arange(n), np.diff(offsets))
+    counts = np.bincount(doc * BUCKETS + (s & U(BUCKETS - 1)).astype(np.int64), minlength=n * BUCKETS)
+    data = np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * BUCKETS, BUCKETS, dtype=np.int32)), pa.py_buffer(data)])
+
+
 def needed_overlap(n: np.ndarray | int, similarity: int):
     return -(-similarity * n // 100)
 
@@ -149,34 +165,87 @@ def combination_prefix(rare: int, hot: np.ndarray, n: int, similarity: int) -> n
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
-def prefix_rows(s: np.ndarray, offsets: np.ndarray, shared: Bitmap, frequent: Bitmap, similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of sets: (text, signature, rare shingles in the prefix)."""
+class Frequencies:
+    """Which shingles several nodes share, and which are frequent; the low part of the hash space counted over all sets, the rest
+    over those sets alone whose prefixes reach it."""
+
+    def __init__(self, low: tuple[Bitmap, Bitmap], high: tuple[Bitmap, Bitmap] | None = None) -> None:
+        self.low, self.high = low, high
+
+    @staticmethod
+    def of(counts: DataFrame) -> tuple[Bitmap, Bitmap]:
+        """counts: (token, hot) of shared shingles."""
+        shared, hot = counts.agg(F.count("*"), F.count_if("hot")).first()
+        return Bitmap.of(counts, "token", shared), Bitmap.of(counts.where("hot"), "token", 2 * hot)
+
+    def rare_low(self, s: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each shingle is rare and in the low part, and how many such each set has."""
+        rare = (s < U(COUNTED)) & ~self.low[1].has(s)
+        run = np.concatenate(([0], np.cumsum(rare)))
+        return rare, run[offsets[1:]] - run[offsets[:-1]]
+
+
+def _prefix_sizes(offsets: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(offsets)
+    return n, n - needed_overlap(n, similarity) + 1
+
+
+def prefix_rows(s: np.ndarray, offsets: np.ndarray, known: Frequencies, similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of sets: (text, signature, rare shingles in the prefix, whether it is a pair). Order: low rare, high rare, frequent; each by hash."""
+    n, p = _prefix_sizes(offsets, similarity)
     doc = np.repeat(np.arange(len(n)), n)
-    hot = frequent.has(s)
-    rare_before = np.concatenate(([0], np.cumsum(~hot)))
-    rank = rare_before[:-1] - rare_before[offsets[:-1]][doc]
-    p = n - needed_overlap(n, similarity) + 1
-    rare = rare_before[offsets[1:]] - rare_before[offsets[:-1]]
-    single = ~hot & (rank < p[doc])
-    single &= (s >= U(COUNTED)) | shared.has(s)
+
+    def ranks(flags: np.ndarray) -> np.ndarray:
+        run = np.concatenate(([0], np.cumsum(flags)))
+        return run[:-1] - run[offsets[:-1]][doc]
+
+    low, n_low = known.rare_low(s, offsets)
+    reach = (n_low < p) & (n > 1)
+    single = low & (ranks(low) < p[doc]) & known.low[0].has(s)
+    high = (s >= U(COUNTED)) & reach[doc] & ~known.high[1].has(s)
+    single |= high & (ranks(high) < (p - n_low)[doc]) & known.high[0].has(s)
+    run = np.concatenate(([0], np.cumsum(high)))
+    rare = n_low + run[offsets[1:]] - run[offsets[:-1]]
     at = np.flatnonzero(single)
     docs, sigs = [doc[at]], [s[at]]
-    for d in np.flatnonzero((rare < p) & (n > 1)):
+    frequent = ~low & ~high
+    for d in np.flatnonzero(reach & (rare < p)):
         own = slice(offsets[d], offsets[d + 1])
-        pairs = combination_prefix(int(rare[d]), s[own][hot[own]], int(n[d]), similarity)
+        pairs = combination_prefix(int(rare[d]), s[own][frequent[own]], int(n[d]), similarity)
         docs.append(np.full(len(pairs), d))
         sigs.append(pairs)
     docs = np.concatenate(docs)
-    return docs, np.concatenate(sigs), np.minimum(rare, p)[docs]
+    return docs, np.concatenate(sigs), np.minimum(rare, p)[docs], np.arange(len(docs)) >= len(at)
 
 
 # --- components ------------------------------------------------------------
 
 
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "comp"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, comp (smallest node reachable) of every node of links (a, b), by alternating large and small stars."""
+    """node, comp (smallest node reachable) of every node of links (a, b), by alternating large and small stars.
+
+    Up to FEW_LINKS links are united by one task in one pass.
+    """
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    if edges.count() <= FEW_LINKS:
+        return edges.coalesce(1).mapInArrow(_unite, "node bigint, comp bigint")
     seen = None
     while True:
         # large star: a node's larger neighbours move to its smallest neighbour
@@ -197,80 +266,116 @@ def components(links: DataFrame) -> DataFrame:
 # --- the join --------------------------------------------------------------
 
 
-def _size_ok(a: Column, b: Column, similarity: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * similarity
+def _may_link(nx: str, ny: str, rx: str, ry: str, pair: str, similarity: int) -> Column:
+    """Whether sizes, and for a pair of frequent shingles also rare ones, allow a link.
+
+    A set that is indexed by pairs has all its rare shingles in its prefix. Two such sets that have a rare one in common meet in its
+    own bucket; otherwise neither's rare ones are in the intersection.
+    """
+    nx, ny, rx, ry, pair = map(F.col, (nx, ny, rx, ry, pair))
+    most = F.when(pair, F.least(nx - rx, ny - ry)).otherwise(F.least(nx, ny))
+    return most * 100 >= (nx + ny - most) * similarity
 
 
 class _Join:
     def __init__(self, docs: DataFrame, similarity: int, shingle: int, id_col: str, text_col: str) -> None:
         self.spark = docs.sparkSession
         ship_package(self.spark)
-        self.texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        doc_id = F.col(id_col).cast("long")
+        self.texts = docs.select(doc_id.alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(doc_id).alias("h"))
         self.similarity, self.shingle = similarity, shingle
         self.seed = 0
 
-    def scan(self, make, schema: str, source: DataFrame | None = None) -> DataFrame:
-        """make(ids, sets, offsets, nodes) gives columns; run over all texts. An id that is NULL takes no part in links."""
+    def scan(self, make, schema: str, source: DataFrame | None = None, only: Bitmap | None = None) -> DataFrame:
+        """make(ids, sets, offsets, nodes) gives columns; run over all texts. An id that is NULL takes no part in links.
+
+        only: the ids to take, by hash; false bits let others by.
+        """
         seed, shingle = self.seed, self.shingle
         names = [x.split()[0] for x in schema.split(", ")]
+        sent = self.spark.sparkContext.broadcast(only)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text", _TEXT):
-                s, offsets = doc_sets(batch.column(1), shingle)
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in make(batch.column(0), s, offsets, nodes_of(s, offsets, seed))], names=names)
+            only = sent.value
+            for batch in batches:
+                if only is not None:
+                    batch = batch.filter(pa.array(only.has(batch.column(2).to_numpy().view(U))))
+                for part in slices(iter([batch]), "text", _TEXT):
+                    s, offsets = doc_sets(part.column(1), shingle)
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in make(part.column(0), s, offsets, nodes_of(s, offsets, seed))], names=names)
 
         return (self.texts.where("doc_id IS NOT NULL") if source is None else source).mapInArrow(run, schema)
 
     def sets(self) -> DataFrame:
-        """doc_id, n, node of every document; retried with another seed should two different sets share a 64-bit node."""
+        """doc_id, n, node, sketch of every document; retried with another seed should two different sets share a 64-bit node."""
         while True:
-            table = cut(self.scan(lambda ids, s, offsets, nodes: [ids, np.diff(offsets), *nodes], "doc_id bigint, n bigint, node bigint, other bigint", self.texts))
+            table = cut(self.scan(lambda ids, s, offsets, nodes: [ids, np.diff(offsets), *nodes, sketches(s, offsets)], "doc_id bigint, n bigint, node bigint, other bigint, sketch binary", self.texts))
             if not table.groupBy("node").agg((F.min("other") != F.max("other")).alias("bad")).where("bad").limit(1).count():
                 return table.drop("other")
             self.seed += 1
 
-    def members(self) -> DataFrame:
-        """sig, node, n, rare of every indexed signature."""
+    def members(self, nodes: DataFrame) -> DataFrame:
+        """sig, node, n, rare, pair of every indexed signature, from one document of each node (false bits let some copies by)."""
+        only = Bitmap.of(nodes.select(F.xxhash64("doc_id").alias("h")), "h", nodes.count())
+        similarity = self.similarity
         mask = lambda nodes, doc: (U(1) << (nodes.view(U)[doc] & U(63))).view(np.int64)
 
-        def counted(ids, s, offsets, nodes):
+        def shared(make) -> DataFrame:
+            counts = self.scan(make, "token bigint, mask bigint", only=only).groupBy("token").agg(F.count("*").alias("n"), F.bit_count(F.bit_or("mask")).alias("bits")).where("n > 1")
+            return cut(counts.select("token", (F.col("bits") >= FREQUENT_BITS).alias("hot")))
+
+        def in_low(ids, s, offsets, nodes):
             at = np.flatnonzero(s < U(COUNTED))
             return [s[at].view(np.int64), mask(nodes[0], np.searchsorted(offsets, at, "right") - 1)]
 
-        counts = self.scan(counted, "token bigint, mask bigint").groupBy("token").agg(F.count("*").alias("n"), F.bit_count(F.bit_or("mask")).alias("bits")).where("n > 1")
-        counts = cut(counts.select("token", (F.col("bits") >= FREQUENT_BITS).alias("hot")))
-        shared_n, hot_n = counts.agg(F.count("*"), F.count_if("hot")).first()
-        sent = self.spark.sparkContext.broadcast((Bitmap.of(counts, "token", shared_n), Bitmap.of(counts.where("hot"), "token", hot_n)))
-        similarity = self.similarity
+        low = Frequencies(Frequencies.of(shared(in_low)))
+        sent_low = self.spark.sparkContext.broadcast(low)
+
+        def in_high(ids, s, offsets, nodes):
+            n, p = _prefix_sizes(offsets, similarity)
+            reach = (sent_low.value.rare_low(s, offsets)[1] < p) & (n > 1)
+            at = np.flatnonzero((s >= U(COUNTED)) & np.repeat(reach, n))
+            return [s[at].view(np.int64), mask(nodes[0], np.searchsorted(offsets, at, "right") - 1)]
+
+        sent = self.spark.sparkContext.broadcast(Frequencies(low.low, Frequencies.of(shared(in_high))))
 
         def signatures(ids, s, offsets, nodes):
-            doc, sig, rare = prefix_rows(s, offsets, *sent.value, similarity)
-            return [sig.view(np.int64), nodes[0][doc], np.diff(offsets)[doc], rare]
+            doc, sig, rare, pair = prefix_rows(s, offsets, sent.value, similarity)
+            return [sig.view(np.int64), nodes[0][doc], np.diff(offsets)[doc], rare, pair]
 
-        return cut(self.scan(signatures, "sig bigint, node bigint, n bigint, rare bigint"))
+        return cut(self.scan(signatures, "sig bigint, node bigint, n bigint, rare bigint, pair boolean", only=only))
 
     def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link. nodes: (node, doc_id of one document with that set)."""
+        """The pairs (a, b) that link. nodes: (node, doc_id, n, sketch) of one document of each set.
+
+        A bound from the sketches drops most others before whole sets travel.
+        """
+        similarity = self.similarity
+
+        def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = batch.num_rows
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(n, BUCKETS) for i in (4, 5))
+                nx, ny = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                most = np.minimum(x, y).sum(1, dtype=np.int64)
+                full = ((x == 255) & (y == 255)).any(1)
+                yield batch.select([0, 1]).filter(pa.array(full | (100 * most >= similarity * (nx + ny - most))))
+
+        side = nodes.select("node", "n", "sketch")
+        with_a = pairs.join(side.toDF("a", "na", "sa"), "a")
+        both = with_a.join(side.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
+        pairs = cut(both.mapInArrow(bounded, "a bigint, b bigint"))
         wanted = cut(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", "doc_id"))
         size = wanted.count()
         if not size:
             return pairs.limit(0)
-        few = wanted.select(F.xxhash64("doc_id").alias("h"))
-        bitmap = Bitmap.of(few, "h", size)
-        sent = self.spark.sparkContext.broadcast(bitmap)
-        similarity = self.similarity
-
-        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(sent.value.has(batch.column(2).to_numpy().view(U)))).select([0, 1])
-
-        source = self.texts.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(chosen, self.texts.schema)
+        only = Bitmap.of(wanted.select(F.xxhash64("doc_id").alias("h")), "h", size)
 
         def whole(ids, s, offsets, nodes):
             data = s.tobytes()
             return [nodes[0], pa.array([data[8 * a : 8 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())]
 
-        own = self.scan(whole, "node bigint, tokens binary", source)
+        own = self.scan(whole, "node bigint, tokens binary", only=only)
         own = cut(own.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,15 +392,36 @@ class _Join:
                     keep[k] = both > 0 and 100 * both >= similarity * (len(x) + len(y) - both)
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
-        with_b = pairs.join(own.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
-        with_a = with_b.join(own.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
-        return with_a.select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint")
+        with_b = pairs.join(own.toDF("b", "tb"), "b")
+        return with_b.join(own.toDF("a", "ta"), "a").select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint")
+
+    def rest(self, live: DataFrame) -> DataFrame:
+        """Pairs (x, y) of different components that share a signature, for what the stars have left open.
+
+        Small buckets are joined with themselves. In a large one nearly all are of one component by now; each other member meets
+        that component's members, once whatever the number of signatures, and the other members of its bucket.
+        """
+        similarity = self.similarity
+        by_comp = live.groupBy("sig", "comp").agg(F.count("*").alias("m"))
+        size = by_comp.groupBy("sig").agg(F.sum("m").alias("total"), F.max_by("comp", F.struct("m", "comp")).alias("main"))
+        size = cut(size.select("sig", (F.col("total") <= SMALL_BUCKET).alias("small"), "main"))
+        known = live.select("sig", "node", "n", "rare", "pair", "comp").join(size, "sig")
+        left = cut(known.where("small OR comp <> main").distinct())
+        one = left.select("sig", "pair", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("rare").alias("rx"), F.col("comp").alias("cx"))
+        two = left.select("sig", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("rare").alias("ry"), F.col("comp").alias("cy"))
+        may = _may_link("nx", "ny", "rx", "ry", "pair", similarity)
+        inside = one.join(two, "sig").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & may).select("x", "y")
+        large = left.where("not small").select("pair", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("rare").alias("rx"), F.col("main").alias("comp")).distinct()
+        mains = live.select("comp", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("rare").alias("ry")).distinct().join(large.select("comp").distinct(), "comp", "left_semi")
+        across = large.join(mains, "comp").where(may).select("x", "y")
+        return inside.unionAll(across)
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """Every document's set, and the component of every node that has one beside itself."""
         sets = self.sets()
-        nodes = sets.where("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        members = self.members()
+        first = sets.where("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        nodes = cut(sets.where("doc_id IS NOT NULL AND n > 0").join(first, ["node", "doc_id"]).dropDuplicates(["node"]))
+        members = self.members(nodes)
         similarity = self.similarity
         links: list[DataFrame] = []
         tried: list[DataFrame] = []
@@ -306,24 +432,25 @@ class _Join:
                 known = live.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             else:
                 known = live.withColumn("comp", F.col("node"))
-            known = known.select("sig", "node", "n", "rare", "comp")
-            open_ = known.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("rare", F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "comp")).alias("pivot")).where("c0 <> c1").select("sig", "pivot")
-            live = cut(known.join(open_, "sig").select("sig", "node", "n", "rare", "comp", "pivot").distinct())
+            known = known.select("sig", "node", "n", "rare", "pair", "comp")
+            open_ = known.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("rare", F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "comp")).alias("pivot")).where("c0 <> c1").select("sig", F.col("pivot.node").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.rare").alias("pr"), F.col("pivot.comp").alias("pc"))
+            live = cut(known.join(open_, "sig"))
             if not live.limit(1).count():
                 break
             if k < STAR_ROUNDS:
-                pairs = live.where((F.col("comp") != F.col("pivot.comp")) & _size_ok(F.col("n"), F.col("pivot.n"), similarity)).select(F.col("pivot.node").alias("x"), F.col("node").alias("y"))
+                pairs = live.where((F.col("comp") != F.col("pc")) & _may_link("n", "pn", "rare", "pr", "pair", similarity)).select(F.col("p").alias("x"), F.col("node").alias("y"))
             else:
-                one, two = live.select("sig", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx")), live.select("sig", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-                pairs = one.join(two, "sig").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & _size_ok(F.col("nx"), F.col("ny"), similarity)).select("x", "y")
+                pairs = self.rest(live)
             pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
             if tried:
                 pairs = pairs.join(reduce(DataFrame.unionAll, tried), ["a", "b"], "left_anti")
             pairs = cut(pairs)
             tried.append(pairs)
-            links.append(cut(self.verified(pairs, nodes)))
-            comp = cut(components(reduce(DataFrame.unionAll, links)))
-            live = live.select("sig", "node", "n", "rare")
+            found = cut(self.verified(pairs, nodes))
+            if found.limit(1).count():
+                links.append(found)
+                comp = cut(components(reduce(DataFrame.unionAll, links)))
+            live = live.select("sig", "node", "n", "rare", "pair")
         return sets, comp if comp is not None else self.spark.createDataFrame([], "node bigint, comp bigint")
 
 
