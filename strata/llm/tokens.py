@@ -358,7 +358,7 @@ def write_tokens(docs: DataFrame, definition: str, path: str, id_col: str = "doc
                     stream = files.open_output_stream(f"{plain}/_{name}")
                     writer, first = Writer(stream, cache.token_bytes), encode_key(doc_id)
                 writer.add(encode_key(doc_id), value)
-                if writer.at >= file_bytes:
+                if writer.at + len(writer.block) >= file_bytes:
                     finish()
                     writer = None
         if writer is not None:
