@@ -64,3 +64,15 @@ def test_schema_text(spark):
     assert schema_from_simple_string("a: int, b: array<string>") == schema
     assert schema_from_simple_string(schema_to_simple_string(schema)) == schema
     assert schema_to_pretty_json(_t("a INT")).startswith('{\n  "fields": [')
+
+
+def test_type_questions(spark):
+    from strata import data_type_utils as D
+    from strata import field_utils
+
+    schema = _t("a INT NOT NULL, b ARRAY<STRUCT<c: INT>>, s STRUCT<x: DATE>")
+    a, b, s = schema.fields
+    assert D.is_repeated(b) and not D.is_repeated(a) and D.is_struct(s) and not D.is_nullable(a)
+    assert D.find_wider_type_for_two(_t("int"), _t("string")) == "string" and D.find_wider_type_for_two(_t("int"), _t("boolean")) is None
+    assert D.get_common_columns(schema, _t("s STRUCT<x: TIMESTAMP>, a BIGINT, b ARRAY<STRUCT<c: INT, d: INT>>")) == {"a": "bigint", "b!.c": None, "s.x": "timestamp"}
+    assert field_utils.get_granularity("a!.b") == "a!"
