@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import fit_logistic, is_held_out, labelled_sample, predict_logistic, ship_package, slices
+from strata.llm.common import cut, fit_logistic, is_held_out, labelled_sample, predict_logistic, ship_package, slices
 
 WORD = re.compile(r"[^\W_]+")
 THRESHOLD = 0.3
@@ -164,7 +164,7 @@ class Scorer:
         return (math.log1p(direct), math.log1p(100 * direct / max(n, 1)), math.log1p(quoted), math.log1p(len(terms)), math.log1p(most), float(direct > 0))
 
 
-def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, least_docs: int = 5) -> tuple[Lexicon, int]:
+def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, least_docs: int = 5) -> Lexicon:
     """Words and word beginnings whose rate among words of toxic texts is far above that in others. sample: (text, label)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,18 +188,19 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, least_docs: int
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (docs[0], docs[1], uses[0], uses[1]))], names=["form", "d0", "d1", "u0", "u1"])
 
     sums = sample.mapInArrow(count, "form string, d0 bigint, d1 bigint, u0 bigint, u1 bigint").groupBy("form").agg(*(F.sum(c).alias(c) for c in ("d0", "d1", "u0", "u1")))
-    strong = (F.col("d1") >= least_docs) & (F.col("d1") * 200 >= F.col("all_d1")) | (F.col("form") == "")
+    often = cut(sums.where((F.col("d1") >= least_docs) | (F.col("form") == "")))
+    total = often.where("form = ''").first() or {"d0": 0, "d1": 0, "u0": 0, "u1": 0}
+    rate = lambda c, most: (F.col(c) + 0.5) / F.lit(total[most] + 1.0)
     rows = (
-        sums.crossJoin(F.broadcast(sums.where("form = ''").select(F.col("u0").alias("all_u0"), F.col("u1").alias("all_u1"), F.col("d1").alias("all_d1"), F.col("d0").alias("all_d0"))))
-        .where(strong)
-        .withColumn("ratio", (F.col("u1") + 0.5) / (F.col("all_u1") + 1) / ((F.col("u0") + 0.5) / (F.col("all_u0") + 1)))
-        .where((F.col("ratio") >= 10) & (F.col("d1") * (F.col("all_d0") + 1) >= 3 * (F.col("d0") + 1) * F.col("all_d1")))
+        often.where((F.col("form") != "") & (F.col("d1") * 200 >= total["d1"]))
+        .withColumn("ratio", rate("u1", "u1") / rate("u0", "u0"))
+        .where((F.col("ratio") >= 10) & (F.col("d1") * (total["d0"] + 1) >= 3 * (F.col("d0") + 1) * total["d1"]))
         .withColumn("gain", F.col("u1") * F.log("ratio"))
         .orderBy(F.desc("gain"), "form")
         .limit(8 * max_terms)
         .collect()
     )
-    stats = {r.form: r for r in rows if r.form}
+    stats = {r.form: r for r in rows}
     # a beginning whose uses nearly all come from one longer form gives way to that form
     covered = set()
     for form in stats:
@@ -219,7 +220,7 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, least_docs: int
         terms[form] = min(2.0, math.log(r.ratio) / 3)
         if len(terms) >= max_terms:
             break
-    return Lexicon(terms), len(rows)
+    return Lexicon(terms)
 
 
 @dataclass
@@ -232,7 +233,7 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, max_rows: int = MAX
     """Learn the lexicon and the weights from at most max_rows labelled rows outside the held-out fold."""
     ship_package(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, max_rows, id_col, text_col).select("text", "label")
-    lexicon, _ = learn_lexicon(sample)
+    lexicon = learn_lexicon(sample)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, x, y = Scorer(lexicon), [], []
