@@ -328,6 +328,7 @@ def write_tokens(docs: DataFrame, definition: str, path: str, id_col: str = "doc
 
     definition is the content of a tokenizers JSON file. Every task writes files under names of its own and moves them into
     place when whole; only files of tasks that succeeded are listed, so retried or lost tasks leave no trace in the result.
+    An id that many documents have is dealt over several files by the texts' hashes.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -368,7 +369,7 @@ def write_tokens(docs: DataFrame, definition: str, path: str, id_col: str = "doc
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     manifest = cut(ordered.mapInArrow(write, "part int, seq int, path string, entries bigint, tokens bigint, first binary, last binary"))
     found, start = [], 0
     for r in sorted(manifest.collect(), key=lambda r: (r.part, r.seq)):  # a row for each file, not for each document
