@@ -12,8 +12,10 @@ Inside a chunk, no piece reaches over the start of a word, so words are encoded
 
 from __future__ import annotations
 
+import functools
 import pickle
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import islice
@@ -64,16 +66,11 @@ class Lattice:
         self.byte_ids = [0] * 256
         self.ids: dict[str, int] = {}
         self.scores: list[float] = [sp.get_score(i) for i in range(len(sp))]
-        self.bytes: list[bytes] = []
         for i, p in enumerate(self.pieces):
             if sp.is_byte(i):
                 self.byte_ids[int(p[3:5], 16)] = i
-                self.bytes.append(bytes([int(p[3:5], 16)]))
-            elif sp.is_control(i) or sp.is_unknown(i):
-                self.bytes.append(b"")
-            else:
+            elif not (sp.is_control(i) or sp.is_unknown(i)):
                 self.ids[p] = i
-                self.bytes.append(p.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.ids))
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces reach over the start of a word")
@@ -129,31 +126,35 @@ class Lattice:
 
         before: the piece that ends at begin, None at a text's start or at the start of a word.
         """
-        last: dict[int, tuple[int, int]] = {}
-        table, weight = self.table.get, self.weight
-        for s in range(begin, end):
-            if s == begin:
+        size = end - begin
+        starts, found = [-1] * (size + 1), [0] * (size + 1)
+        table, pairs, weight = self.table.get, self.pairs, self.weight
+        for at in range(size):
+            if at == 0:
                 prev = UNKNOWN if before is None else before
-            elif s in last:
-                prev = last[s][1]
+            elif starts[at] >= 0:
+                prev = found[at]
             else:
                 continue
-            row = self.pairs.get(prev, {})
-            e = s + 1
-            while e <= end:
+            row = pairs.get(prev) if prev >= 0 else None
+            s = begin + at
+            for e in range(s + 1, end + 1):
                 k = table(text[s:e])
                 if k is None:
+                    if e == s + 1 and starts[at + 1] < 0:
+                        starts[at + 1], found[at + 1] = at, UNKNOWN
                     break
-                if k >= 0 and e not in last:
-                    ok = row.get(k)
-                    if ok is None:
-                        ok = weight(prev, k)
+                if k >= 0 and starts[e - begin] < 0:
+                    if prev < 0:
+                        ok = True
+                    else:
+                        ok = row.get(k) if row is not None else None
+                        if ok is None:
+                            ok = weight(prev, k)
+                            row = self.pairs.get(prev)
                     if ok:
-                        last[e] = (s, k)
-                e += 1
-            if e == s + 1 and e not in last:
-                last[e] = (s, UNKNOWN)
-        return last
+                        starts[e - begin], found[e - begin] = at, k
+        return {begin + e: (begin + starts[e], found[e]) for e in range(1, size + 1) if starts[e] >= 0}
 
     def spelled(self, text: str, path: Iterable[tuple[int, int, int]]) -> bytes:
         out: list[int] = []
@@ -162,7 +163,7 @@ class Lattice:
                 out.append(k)
             else:
                 out += [self.byte_ids[b] for b in text[s:e].encode()]
-        return np.array(out, "<i4").tobytes()
+        return struct.pack(f"<{len(out)}i", *out)
 
     def trace(self, text: str, last: dict[int, tuple[int, int]], begin: int, end: int) -> list[State]:
         path, e = [], end
@@ -314,11 +315,27 @@ def normalise(text: str | None) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def decode_ids(lattice: Lattice, ids: Iterable[int]) -> str:
-    raw = b"".join(map(lattice.bytes.__getitem__, ids)).decode("utf-8", "replace")
+def piece_bytes(sp) -> list[bytes]:
+    """What each id of a SentencePiece vocabulary spells."""
+    out = []
+    for i in range(len(sp)):
+        p = sp.id_to_piece(i)
+        out.append(bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) else p.replace(SPACE, " ").encode())
+    return out
+
+
+def decode_ids(spelling: list[bytes], ids: Iterable[int]) -> str:
+    raw = b"".join(map(spelling.__getitem__, ids)).decode("utf-8", "replace")
     return raw[1:] if raw.startswith(" ") else raw
 
 
+@functools.lru_cache(maxsize=2)
+def _spelling(model: bytes) -> list[bytes]:
+    import sentencepiece
+
+    return piece_bytes(sentencepiece.SentencePieceProcessor(model_proto=model))
+
+
 _LATTICES: dict[int, Lattice] = {}
 
 
@@ -434,11 +451,11 @@ def decode_pieces(encoded: DataFrame, model: bytes, ids_col: str = "ids") -> Dat
     at = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = _lattice(sent.value)
+        spelling = _spelling(sent.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts = [None if x is None else decode_ids(lattice, x) for x in part.column(at).to_pylist()]
+                texts = [None if x is None else decode_ids(spelling, x) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, "text"])
 
     return encoded.mapInArrow(run, encoded.select("*", F.lit("").alias("text")).schema)
@@ -453,7 +470,7 @@ def piece_digest(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = _lattice(sent.value)
+        spelling = _spelling(sent.value)
         for batch in batches:
             column = batch.column(1)
             flat, offsets = column.flatten().to_numpy(), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
@@ -462,7 +479,7 @@ def piece_digest(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
                 ids = flat[a:b]
                 n.append(len(ids))
                 crc.append(zlib.crc32(ids.astype("<i4").tobytes()))
-                same.append(zlib.crc32(decode_ids(lattice, ids.tolist()).encode()) == want)
+                same.append(zlib.crc32(decode_ids(spelling, ids.tolist()).encode()) == want)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "restored"])
 
     return encoded.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, restored boolean")
