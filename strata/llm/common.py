@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -59,6 +59,26 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+# --- caches of Python workers ----------------------------------------------
+
+_FORGET: dict[str, Callable[[], None]] = {}
+_HOLDER = [""]
+
+
+def holds(owner: str, forget: Callable[[], None]) -> None:
+    """Register how an operator's cache, which outlives its tasks, is emptied."""
+    _FORGET[owner] = forget
+
+
+def claim(owner: str) -> None:
+    """Begin work of one operator in this worker: caches that others left are emptied, so that stages do not add up."""
+    if _HOLDER[0] != owner:
+        for name, forget in _FORGET.items():
+            if name != owner:
+                forget()
+        _HOLDER[0] = owner
+
+
 # --- columns ---------------------------------------------------------------
 
 

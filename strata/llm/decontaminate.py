@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import ALNUM, LOWER, bytes_of, cut, ship_package, slices, window_hashes, word_hashes, word_spans
+from strata.llm.common import ALNUM, LOWER, bytes_of, claim, cut, ship_package, slices, window_hashes, word_hashes, word_spans
 
 WINDOW = 10
 #: Windows in one broadcast set: at most about 150 MB with their words.
@@ -130,6 +130,7 @@ def _scanner(docs: DataFrame, windows: list, passthrough: bool):
     key = f"{spark.sparkContext.applicationId}-{sent._jbroadcast.id()}"
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, dict]]:
+        claim("decontamination")
         matcher = _built(key, lambda: sent.value)
         for batch in slices(batches, "text"):
             raw, offsets = bytes_of(batch.column(batch.schema.get_field_index("text")))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import bytes_of, is_held_out, may_train, ship_package, slices
+from strata.llm.common import bytes_of, claim, is_held_out, may_train, ship_package, slices
 
 UNKNOWN = "und"
 DIMS = 1 << 14
@@ -80,6 +80,7 @@ class LanguageModel:
         return (x @ self.weights) / np.maximum(norm, 1e-9) + self.bias
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
+        claim("language")
         counts, has = ngram_counts(column, len(self.idf))
         if not self.languages:
             return [UNKNOWN] * len(counts), np.zeros(len(counts))
@@ -149,6 +150,7 @@ def train_language_model(docs: DataFrame, dims: int = DIMS, max_rows: int = MAX_
         return LanguageModel([], np.ones(dims), np.zeros((dims, 0)), np.zeros(0))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language")
         total, rows = np.zeros(dims, np.int64), 0
         for batch in slices(batches, "text", _SLICE):
             counts, _ = ngram_counts(batch.column(0), dims)

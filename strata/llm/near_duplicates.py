@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import LOWER, NONSPACE, bytes_of, cut, mix, ship_package, slices, window_hashes, word_hashes, word_spans
+from strata.llm.common import LOWER, NONSPACE, bytes_of, claim, cut, mix, ship_package, slices, window_hashes, word_hashes, word_spans
 
 SHINGLE = 4
 SIMILARITY = 85
@@ -296,6 +296,7 @@ class _Join:
         sent = self.spark.sparkContext.broadcast(only)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim("near duplicates")
             only = sent.value
             for batch in batches:
                 if only is not None:

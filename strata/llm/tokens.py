@@ -37,7 +37,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, new_shared_path, ship_package, slices
+from strata.llm.common import claim, cut, holds, new_shared_path, ship_package, slices
 
 END_ID = 2
 MAGIC = b"STRATSS1"
@@ -291,9 +291,11 @@ class WordCache:
 
 
 _CACHES: dict[int, WordCache] = {}
+holds("tokens", _CACHES.clear)
 
 
 def _cache(definition: str) -> WordCache:
+    claim("tokens")
     key = hash(definition)
     if key not in _CACHES:
         _CACHES.clear()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, fit_logistic, is_held_out, labelled_sample, predict_logistic, ship_package, slices
+from strata.llm.common import claim, cut, fit_logistic, is_held_out, labelled_sample, predict_logistic, ship_package, slices
 
 WORD = re.compile(r"[^\W_]+")
 THRESHOLD = 0.3
@@ -122,6 +122,7 @@ class Scorer:
     NAMES = ("direct", "density", "quoted", "distinct", "repeated", "any")  # no length: long texts are not worse
 
     def __init__(self, lexicon: Lexicon) -> None:
+        claim("toxicity")
         self.lexicon = lexicon
         self.known: set[str] = set()
         self.hits: dict[str, tuple[str, float]] = {}
