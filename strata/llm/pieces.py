@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, ship_package, slices
+from strata.llm.common import claim, cut, holds, ship_package, slices
 
 SPACE = "▁"
 CHUNK = 1 << 16
@@ -337,9 +337,11 @@ def _spelling(model: bytes) -> list[bytes]:
 
 
 _LATTICES: dict[int, Lattice] = {}
+holds("pieces", _LATTICES.clear)
 
 
 def _lattice(model: bytes) -> Lattice:
+    claim("pieces")
     key = zlib.crc32(model)
     if key not in _LATTICES:
         _LATTICES[key] = Lattice(model)
