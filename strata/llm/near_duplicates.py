@@ -60,9 +60,9 @@ def doc_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     s = np.empty(at[-1], U)
     inside = np.zeros(len(words) + 1, bool)
     inside[: len(whole)] = True
-    tail = np.concatenate([np.maximum(first[:-1], first[1:] - j) for j in range(1, k)]) if len(words) else np.zeros(0, np.int64)
-    inside[tail[tail < len(inside)]] = False
     full = np.flatnonzero(counts >= k)
+    for j in range(1, k):
+        inside[first[full + 1] - j] = False
     place = np.repeat(np.arange(len(counts)), counts)
     good = np.flatnonzero(inside[: len(words)] & (counts[place] >= k)) if len(words) else np.zeros(0, np.int64)
     spot = at[place[good]] + good - first[place[good]] if len(good) else good

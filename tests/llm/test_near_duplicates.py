@@ -65,6 +65,18 @@ def test_sets():
         assert (np.diff(s[a:b].astype(object)) > 0).all() if b - a > 1 else True
 
 
+def test_sets_after_texts_without_words():
+    a, b = "a b c d e f g h i j", words(rng(3), 40)
+    alone = N.doc_sets(pa.array([a, b]))[0].tolist()
+    texts = [None, a, b, "", a, " \n\t ", a, None, "", " ", a, "x y", b, None, a, ""]
+    s, offsets = N.doc_sets(pa.array(texts))
+    assert np.diff(offsets).tolist() == [len(shingles(t)) for t in texts]
+    n = len(shingles(a))
+    for t, lo, hi in zip(texts, offsets, offsets[1:], strict=False):
+        if t in (a, b):
+            assert s[lo:hi].tolist() == (alone[:n] if t == a else alone[n:])
+
+
 def test_small_cases(spark):
     a = "a b c d e f g h"
     check(spark, [(0, None), (1, ""), (2, "  \n"), (3, "one two"), (4, "ONE  two"), (5, "two one"), (6, a), (7, a.upper()), (8, a + " i"), (None, a), (None, None), (6, a), (9, "x"), (10, "x"), (11, a + " i j")])
