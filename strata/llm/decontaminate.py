@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,6 +142,30 @@ def _scanner(docs: DataFrame, windows: list, passthrough: bool):
     return texts
 
 
+def _united(numbered: DataFrame, blocks: Iterator[list]) -> DataFrame:
+    """row, doc_id, n_words, spans (a list of each pass), items of every row of numbered (row, doc_id, text): a pass over it for each block of windows."""
+
+    def one_pass(windows: list) -> DataFrame:
+        texts = _scanner(numbered, windows, True)
+
+        def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, _, _, first, found in texts(batches):
+                runs, ids = [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
+                for d, hits in found.items():
+                    runs[d], ids[d] = _hit_words(hits), sorted({i for _, _, items in hits for i in items})
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(first)), pa.array(runs, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.int64()))], names=["row", "doc_id", "n_words", "spans", "items"])
+
+        return numbered.mapInArrow(spans, "row bigint, " + HIT_SCHEMA)
+
+    every = functools.reduce(DataFrame.unionAll, map(one_pass, blocks))
+    return every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
+def _all_runs(spans: list[list[int]]) -> list[int]:
+    """The united word runs of several passes."""
+    return _hit_words([(r[i], r[i + 1] - r[i], []) for r in spans for i in range(0, len(r), 2)])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_windows: int = MOST_WINDOWS) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -169,30 +194,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
         return base.mapInArrow(digest, DIGEST_SCHEMA)
 
-    # a benchmark beyond one broadcast: a pass for each block of windows over numbered rows, united by row
+    # a benchmark beyond one broadcast
     numbered = cut(base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
-
-    def one_pass(windows: list) -> DataFrame:
-        texts = _scanner(docs, windows, True)
-
-        def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, _, _, first, found in texts(batches):
-                runs, ids = [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
-                for d, hits in found.items():
-                    runs[d], ids[d] = _hit_words(hits), sorted({i for _, _, items in hits for i in items})
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(first)), pa.array(runs, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.int64()))], names=["row", "doc_id", "n_words", "spans", "items"])
-
-        return numbered.mapInArrow(spans, "row bigint, " + HIT_SCHEMA)
-
-    parts = [one_pass(first_block), one_pass(second), *(one_pass(b) for b in blocks)]
-    every = functools.reduce(DataFrame.unionAll, parts)
-    united = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    united = _united(numbered, itertools.chain([first_block, second], blocks))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_hit, shas, n_items = [], [], []
             for spans, items in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                runs = _hit_words([(r[i], r[i + 1] - r[i], []) for r in spans for i in range(0, len(r), 2)])
+                runs = _all_runs(spans)
                 n_hit.append(sum(runs[1::2]) - sum(runs[::2]))
                 n_items.append(len(items))
                 shas.append(_sha(set(items)))
@@ -213,44 +223,61 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
 
     Hit words are cut out with what stands between them; a document of which more than drop_share of the words are hit goes
     whole. Clean documents pass unchanged, as do NULL and empty texts. length_col, if docs has it, follows a cut text.
-    A benchmark beyond most_windows is applied in several passes; a passage that an earlier pass cut is gone by then.
+    A benchmark beyond most_windows is looked up in several passes over the whole texts, whose hits are united before any text is cut.
     """
     ship_package(docs.sparkSession)
     names = docs.columns
     at = names.index(text_col)
     length_at = names.index(length_col) if length_col in names else None
-    out = docs
-    for block in _read_items(benchmark, item_col, item_text_col, window, most_windows):
-        texts = _scanner(docs, block, True)
 
-        def clean(batches: Iterator[pa.RecordBatch], texts=texts) -> Iterator[pa.RecordBatch]:
+    def cleaned(columns: list[pa.Array], hit: dict[int, list[int]], n_words: np.ndarray) -> pa.RecordBatch:
+        column = columns[at]
+        keep, new = np.ones(len(column), bool), column.to_pylist()
+        for d, runs in hit.items():
+            if sum(runs[1::2]) - sum(runs[::2]) > drop_share * n_words[d]:
+                keep[d] = False
+                continue
+            raw = new[d].encode()
+            starts, ends, _ = word_spans(LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]), ALNUM)
+            parts, last = [], 0
+            for a, b in zip(runs[::2], runs[1::2], strict=True):
+                parts.append(raw[last : starts[a]])
+                last = ends[b - 1]
+            new[d] = b"".join([*parts, raw[last:]]).decode()
+        columns = list(columns)
+        columns[at] = pa.array(new, column.type)
+        if length_at is not None:
+            lengths = columns[length_at].to_pylist()
+            for d in hit:
+                lengths[d] = len(new[d])
+            columns[length_at] = pa.array(lengths, columns[length_at].type)
+        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
+
+    blocks = _read_items(benchmark, item_col, item_text_col, window, most_windows)
+    first_block = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        texts = _scanner(docs, first_block, True)
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             renamed = (pa.RecordBatch.from_arrays(b.columns, names=[f"c{i}" if i != at else "text" for i in range(len(names))]) for b in batches)
-            for batch, data, offsets, first, found in texts(renamed):
+            for batch, _, _, first, found in texts(renamed):
                 if not found:
                     yield pa.RecordBatch.from_arrays(batch.columns, names=names)
                     continue
-                column = batch.column(at)
-                keep, new = np.ones(batch.num_rows, bool), column.to_pylist()
-                for d, hits in found.items():
-                    runs = _hit_words(hits)
-                    if sum(runs[1::2]) - sum(runs[::2]) > drop_share * (first[d + 1] - first[d]):
-                        keep[d] = False
-                        continue
-                    raw = column[d].as_py().encode()
-                    starts, ends, _ = word_spans(LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]), ALNUM)
-                    parts, last = [], 0
-                    for a, b in zip(runs[::2], runs[1::2], strict=True):
-                        parts.append(raw[last : starts[a]])
-                        last = ends[b - 1]
-                    new[d] = b"".join([*parts, raw[last:]]).decode()
-                columns = list(batch.columns)
-                columns[at] = pa.array(new, column.type)
-                if length_at is not None:
-                    lengths = columns[length_at].to_pylist()
-                    for d in found:
-                        lengths[d] = len(new[d])
-                    columns[length_at] = pa.array(lengths, columns[length_at].type)
-                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
-
-        out = out.mapInArrow(clean, docs.schema)
-    return out
+                yield cleaned(batch.columns, {d: _hit_words(hits) for d, hits in found.items()}, np.diff(first))
+
+        return docs.mapInArrow(clean, docs.schema)
+
+    # a benchmark beyond one broadcast
+    numbered = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")))
+    texts_only = numbered.select("row", F.lit(None).cast("bigint").alias("doc_id"), F.col("doc").getField(text_col).alias("text"))
+    hits = _united(texts_only, itertools.chain([first_block, second], blocks)).select("row", "n_words", "spans")
+    flat = numbered.join(hits, "row").select("n_words", "spans", "doc.*").toDF("n_words", "spans", *(f"c{i}" for i in range(len(names))))
+
+    def clean_united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, f"c{at}"):
+            hit = {d: _all_runs(spans) for d, spans in enumerate(batch.column(1).to_pylist()) if any(spans)}
+            yield cleaned(batch.columns[2:], hit, batch.column(0).to_numpy())
+
+    return flat.mapInArrow(clean_united, docs.schema)

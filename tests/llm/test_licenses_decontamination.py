@@ -96,3 +96,18 @@ def test_removal(spark):
     assert kept[10].n_chars == len(kept[10].text) < len(texts[10]) and kept[10].text.startswith(texts[10][:1000])
     several = remove_contamination(docs, bench, most_windows=7)
     assert contamination(several, bench).where("contaminated").count() == 0
+
+
+def test_removal_in_passes_is_removal_in_one(spark):
+    texts, items = cases()
+    r = rng(6)
+    x, y, z = (words(r, 30, 10**6) for _ in range(3))
+    items += [(20, x), (21, y), (22, " ".join(z.split()[:18])), (23, " ".join(z.split()[9:]))]
+    texts += [x + " " + y + " " + words(r, 40, 10**6), "pre " * 60 + z + " post", x[: len(x) // 2] + " " + words(r, 100, 10**6) + ", " + z + "; " + words(r, 9)]
+    texts.append(words(r, 30, 10**6) + " " + " ".join(x.split()[:5]) + " " + y + " " + " ".join(x.split()[5:12]) + " " + words(r, 30, 10**6))
+    docs, bench = table(spark, texts), spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    one = remove_contamination(docs, bench)
+    assert len(texts) - 4 not in {d.doc_id for d in one.collect()}
+    for most in (7, 20):
+        several = remove_contamination(docs, bench, most_windows=most)
+        assert several.columns == docs.columns and rows(several, *docs.columns) == rows(one, *docs.columns)
