@@ -8,11 +8,11 @@ counts as quoted, any other as direct. A ridge logistic regression over a docume
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 import re
-import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -166,20 +166,26 @@ class Scorer:
         return (math.log1p(direct), math.log1p(100 * direct / max(n, 1)), math.log1p(quoted), math.log1p(len(terms)), math.log1p(most), float(direct > 0))
 
 
+def _kind(words: list[str]) -> int:
+    """The least hash of a text's runs of three words: the same for most near copies, and hardly ever for other texts."""
+    return min(int.from_bytes(hashlib.blake2b(" ".join(words[k : k + 3]).encode(), digest_size=8).digest(), "little", signed=True) for k in range(max(1, len(words) - 2)))
+
+
 def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, least_kinds: int = 5) -> Lexicon:
     """Words and word beginnings whose rate among words of toxic texts is far above that in others. sample: (text, label).
 
-    A term must stand in toxic texts of at least least_kinds kinds, and 15 % of all kinds (at most 63 are told apart); copies of a text, changed or not, are of one kind.
+    A term must stand in toxic texts of at least least_kinds kinds, and 0.5 % of all kinds; exact copies of a text are of one kind, near copies mostly.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: tuple[Counter, Counter] = (Counter(), Counter())
-        kinds: Counter = Counter()
+        kinds: defaultdict[str, set[int]] = defaultdict(set)
         uses: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in slices(batches, "text"):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = Counter(WORD.findall(text.lower()))
-                total = sum(words.values())
+                run = WORD.findall(text.lower())
+                words = Counter(run)
+                total = len(run)
                 forms: Counter = Counter()
                 for w, n in words.items():
                     if len(w) >= 3:
@@ -189,22 +195,21 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, least_kinds: in
                 uses[label].update({form: min(n, 3) for form, n in forms.items()})  # one text says no more with more repeats
                 docs[label].update(forms.keys())
                 if label and words:
-                    # copies of a text have its least word hash, so they set one bit between them
-                    bit = 1 << (min(zlib.crc32(w.encode()) for w in words) % 63)
+                    kind = _kind(run)
                     for form in [*forms, ""]:
-                        kinds[form] |= bit
+                        kinds[form].add(kind)
                 docs[label][""] += 1
                 uses[label][""] += total
         keys = sorted(docs[0].keys() | docs[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (docs[0], docs[1], uses[0], uses[1], kinds))], names=["form", "d0", "d1", "u0", "u1", "k1"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (docs[0], docs[1], uses[0], uses[1])), pa.array([sorted(kinds.get(k, ())) for k in keys], pa.list_(pa.int64()))], names=["form", "d0", "d1", "u0", "u1", "kinds"])
 
-    counts = sample.mapInArrow(count, "form string, d0 bigint, d1 bigint, u0 bigint, u1 bigint, k1 bigint")
-    sums = counts.groupBy("form").agg(*(F.sum(c).alias(c) for c in ("d0", "d1", "u0", "u1")), F.bit_count(F.bit_or("k1")).alias("k1"))
+    counts = sample.mapInArrow(count, "form string, d0 bigint, d1 bigint, u0 bigint, u1 bigint, kinds array<bigint>")
+    sums = counts.groupBy("form").agg(*(F.sum(c).alias(c) for c in ("d0", "d1", "u0", "u1")), F.size(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("k1"))
     often = cut(sums.where((F.col("k1") >= least_kinds) | (F.col("form") == "")))
     total = often.where("form = ''").first() or {"d0": 0, "d1": 0, "u0": 0, "u1": 0, "k1": 0}
     rate = lambda c, most: (F.col(c) + 0.5) / F.lit(total[most] + 1.0)
     rows = (
-        often.where((F.col("form") != "") & (F.col("k1") * 100 >= 15 * total["k1"]))
+        often.where((F.col("form") != "") & (F.col("k1") * 200 >= total["k1"]))
         .withColumn("ratio", rate("u1", "u1") / rate("u0", "u0"))
         .where((F.col("ratio") >= 10) & (F.col("d1") * (total["d0"] + 1) >= 3 * (F.col("d0") + 1) * total["d1"]))
         .withColumn("gain", F.col("u1") * F.log("ratio"))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from strata.llm.toxicity import Lexicon, Scorer, drop_toxic, score_toxicity, train_toxicity_model
+from strata.llm.toxicity import Lexicon, Scorer, drop_toxic, learn_lexicon, score_toxicity, train_toxicity_model
 from tests.llm.helpers import held_out, rng, table, words
 
 
@@ -81,3 +81,14 @@ def test_no_labels(spark):
     empty = spark.createDataFrame([], "doc_id BIGINT, toxic INT")
     assert [r.score for r in score_toxicity(docs, train_toxicity_model(docs, empty)).collect()] == [0.5, 0.5]
     assert score_toxicity(docs.limit(0), train_toxicity_model(docs.limit(0), empty)).count() == 0
+
+
+def test_a_rare_term_is_found_at_any_size_and_copies_fill_no_lexicon(spark):
+    r = rng(8)
+    clean = [(words(r, 40), 0) for _ in range(1200)]
+    toxic = [f"{words(r, 20)} {'achlichch' if k < 7 else 'moron'} {words(r, 20)}" for k in range(800)]
+    copied = words(r, 30) + " onlyhere " + words(r, 30)
+    for toxics in (toxic, toxic[:7] + toxic[400:]):
+        sample = clean + [(t, 1) for t in toxics] + [(copied, 1)] * 300
+        terms = learn_lexicon(spark.createDataFrame(sample, "text STRING, label INT").repartition(4)).terms
+        assert any("achlichch".startswith(t.rstrip("*")) for t in terms) and not any("onlyhere".startswith(t.rstrip("*")) for t in terms)
