@@ -74,6 +74,11 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float = 1.0
 
+    @property
+    def tells(self) -> bool:
+        """Whether the model recognises anything: not without training rows, nor where these gave no weights to tell languages apart."""
+        return bool(self.languages) and (len(self.languages) == 1 or bool(self.weights.any() or self.bias.any()))
+
     def logits(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts) * self.idf
         norm = np.sqrt((x * x).sum(1, keepdims=True))
@@ -211,7 +216,12 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
 
 
 def keep_known_languages(docs: DataFrame, model: LanguageModel, min_score: float = 0.4, text_col: str = "text") -> DataFrame:
-    """The rows of docs, whole and with the same columns, whose language is recognised with at least min_score."""
+    """The rows of docs, whole and with the same columns, whose language is recognised with at least min_score.
+
+    A model that recognises nothing, as without a row to train on, drops nothing.
+    """
+    if not model.tells:
+        return docs
     ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns

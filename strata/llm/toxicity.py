@@ -245,6 +245,11 @@ class ToxicityModel:
     lexicon: Lexicon
     weights: np.ndarray
 
+    @property
+    def tells(self) -> bool:
+        """Whether texts differ in score: not without labelled rows, nor where these showed no difference."""
+        return bool(self.weights[:-1].any())
+
 
 def train_toxicity_model(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learn the lexicon and the weights from at most max_rows labelled rows outside the held-out fold."""
@@ -289,7 +294,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs, whole and with the same columns, that score below threshold."""
+    """The rows of docs, whole and with the same columns, that score below threshold.
+
+    A model that gives all texts one score, as without labelled rows, drops nothing.
+    """
+    if not model.tells:
+        return docs
     ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns

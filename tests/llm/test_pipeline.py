@@ -92,6 +92,15 @@ def test_against_plain_version(spark, tmp_path):
     assert 1 in ids and not ids & {0, 4, 8, 200, 201, 202, 204, 205, 206, 207} and {203, 208} <= ids
 
 
+def test_filters_without_training_rows_drop_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the thing", None), (2, "die Sache", None), (3, "", None), (4, None, None), (None, "12", None)], "doc_id BIGINT, text STRING, lang STRING")
+    want = sorted(map(tuple, docs.collect()), key=repr)
+    for name, rows in (("none", []), ("others", [(77, 1), (78, 0)]), ("toxic", [(k, 1) for k in range(1, 4)])):
+        spark.createDataFrame(rows, "doc_id BIGINT, toxic INT").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert sorted(map(tuple, corpus_pipeline.toxicity(spark, docs, f"{tmp_path}/{name}").collect()), key=repr) == want
+    assert sorted(map(tuple, corpus_pipeline.language(spark, docs, str(tmp_path)).collect()), key=repr) == want
+
+
 def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "toxicity", "near_duplicates", "decontamination", "sentencepiece"]
     assert corpus_pipeline.ORACLE_SQL is None
