@@ -287,7 +287,7 @@ class _Join:
         self.seed = 0
 
     def scan(self, make, schema: str, source: DataFrame | None = None, only: Bitmap | None = None) -> DataFrame:
-        """make(ids, sets, offsets, nodes) gives columns; run over all texts. An id that is NULL takes no part in links.
+        """make(rows, sets, offsets, nodes) gives columns; run over all texts. An id that is NULL takes no part in links.
 
         only: the ids to take, by hash; false bits let others by.
         """
@@ -303,14 +303,14 @@ class _Join:
                     batch = batch.filter(pa.array(only.has(batch.column(2).to_numpy().view(U))))
                 for part in slices(iter([batch]), "text", _TEXT):
                     s, offsets = doc_sets(part.column(1), shingle)
-                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in make(part.column(0), s, offsets, nodes_of(s, offsets, seed))], names=names)
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in make(part, s, offsets, nodes_of(s, offsets, seed))], names=names)
 
         return (self.texts.where("doc_id IS NOT NULL") if source is None else source).mapInArrow(run, schema)
 
     def sets(self) -> DataFrame:
-        """doc_id, n, node, sketch of every document; retried with another seed should two different sets share a 64-bit node."""
+        """doc_id, n, node, sketch, t (hash of the text) of every document; retried with another seed should two different sets share a 64-bit node."""
         while True:
-            table = cut(self.scan(lambda ids, s, offsets, nodes: [ids, np.diff(offsets), *nodes, sketches(s, offsets)], "doc_id bigint, n bigint, node bigint, other bigint, sketch binary", self.texts))
+            table = cut(self.scan(lambda rows, s, offsets, nodes: [rows.column(0), np.diff(offsets), *nodes, sketches(s, offsets), rows.column(3)], "doc_id bigint, n bigint, node bigint, other bigint, sketch binary, t bigint", self.texts.withColumn("t", F.xxhash64("text"))))
             if not table.groupBy("node").agg((F.min("other") != F.max("other")).alias("bad")).where("bad").limit(1).count():
                 return table.drop("other")
             self.seed += 1
@@ -325,14 +325,14 @@ class _Join:
             counts = self.scan(make, "token bigint, mask bigint", only=only).groupBy("token").agg(F.count("*").alias("n"), F.bit_count(F.bit_or("mask")).alias("bits")).where("n > 1")
             return cut(counts.select("token", (F.col("bits") >= FREQUENT_BITS).alias("hot")))
 
-        def in_low(ids, s, offsets, nodes):
+        def in_low(rows, s, offsets, nodes):
             at = np.flatnonzero(s < U(COUNTED))
             return [s[at].view(np.int64), mask(nodes[0], np.searchsorted(offsets, at, "right") - 1)]
 
         low = Frequencies(Frequencies.of(shared(in_low)))
         sent_low = self.spark.sparkContext.broadcast(low)
 
-        def in_high(ids, s, offsets, nodes):
+        def in_high(rows, s, offsets, nodes):
             n, p = _prefix_sizes(offsets, similarity)
             reach = (sent_low.value.rare_low(s, offsets)[1] < p) & (n > 1)
             at = np.flatnonzero((s >= U(COUNTED)) & np.repeat(reach, n))
@@ -340,7 +340,7 @@ class _Join:
 
         sent = self.spark.sparkContext.broadcast(Frequencies(low.low, Frequencies.of(shared(in_high))))
 
-        def signatures(ids, s, offsets, nodes):
+        def signatures(rows, s, offsets, nodes):
             doc, sig, rare, pair = prefix_rows(s, offsets, sent.value, similarity)
             return [sig.view(np.int64), nodes[0][doc], np.diff(offsets)[doc], rare, pair]
 
@@ -372,7 +372,7 @@ class _Join:
             return pairs.limit(0)
         only = Bitmap.of(wanted.select(F.xxhash64("doc_id").alias("h")), "h", size)
 
-        def whole(ids, s, offsets, nodes):
+        def whole(rows, s, offsets, nodes):
             data = s.tobytes()
             return [nodes[0], pa.array([data[8 * a : 8 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())]
 
@@ -478,10 +478,16 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, shingle: int
 
 
 def keep_representatives(docs: DataFrame, similarity: int = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, that of the smallest id; columns as before. Rows with a NULL id all stay."""
-    found = near_duplicates(docs, similarity, shingle, id_col, text_col)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col(id_col) == F.col("_first"), "left_semi")
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
+    """docs with one row of each component, that of the smallest id; columns as before. Rows with a NULL id all stay.
+
+    Rows with one id and different texts are told apart by their sets; of rows without words one stays for each id.
+    """
+    sets, comp = _Join(docs, similarity, shingle, id_col, text_col).run()
+    own = F.when(F.col("n") == 0, F.col("doc_id")).alias("own")
+    least = sets.where("doc_id IS NOT NULL").groupBy("node", own).agg(F.min(F.struct("doc_id", "t")).alias("row"))
+    best = least.join(comp, "node", "left").groupBy(F.coalesce("comp", "node").alias("comp"), "own").agg(F.min("row").alias("row"))
+    chosen = best.select(F.col("row.doc_id").alias("_first"), F.col("row.t").alias("_text")).distinct()
+    kept = docs.join(chosen, (F.col(id_col).cast("long") == F.col("_first")) & (F.xxhash64(text_col) == F.col("_text")), "left_semi")
+    rank = F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.xxhash64(text_col)))
     kept = kept.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -140,3 +140,11 @@ def test_representatives(spark):
     docs = [(3, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (None, "a b c d e"), (5, None), (6, None), (1, "a b c d e")]
     out = N.keep_representatives(table(spark, docs))
     assert out.columns == table(spark, docs).columns and rows(out, "doc_id") == [(1,), (5,), (6,), (None,), (None,)]
+
+
+def test_representatives_of_repeated_ids(spark):
+    a, b, c = "a b c d e", "f g h i j k", "l m n o p q"
+    for x, y in ((a, b), (b, a)):
+        docs = [(1, x), (2, x), (2, y), (2, y), (3, c), (3, c + " r s t u v w"), (4, None), (4, x), (4, c), (5, None), (5, None), (6, ""), (None, x)]
+        want = [(1, x), (2, y), (3, c), (3, c + " r s t u v w"), (4, None), (5, None), (6, ""), (None, x)]
+        assert rows(N.keep_representatives(table(spark, docs)), "doc_id", "text") == sorted(want, key=repr)
