@@ -11,7 +11,7 @@ from strata.llm.common import new_shared_path
 from strata.llm.decontaminate import remove_contamination
 from strata.llm.language import keep_known_languages, train_language_model
 from strata.llm.near_duplicates import keep_representatives
-from strata.llm.pieces import encode_pieces
+from strata.llm.pieces import round_trip
 from strata.llm.toxicity import drop_toxic, train_toxicity_model
 
 
@@ -36,9 +36,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, text_crc32."""
+    """doc_id, ids, text (decoded from the ids), restored (whether it is the text that was encoded)."""
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
-        return encode_pieces(docs, f.read())
+        return round_trip(docs, f.read())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

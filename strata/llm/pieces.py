@@ -23,6 +23,7 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -359,8 +360,9 @@ def _int_lists(values: list[bytes]) -> pa.Array:
 
 
 def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """doc_id, ids (array<int>), text_crc32 (of the text that decoding must give back) of every row of docs.
+    """doc_id, ids (array<int>), text_crc32 (of the text that decoding must give back), marked of every row of docs.
 
+    marked: the text holds a word-start mark itself, for which text_crc32 has a space, as decoding cannot give it back.
     NULL and empty texts have no ids. Repeated rows are repeated, a NULL id is kept. Texts of more than `chunk` characters go
     through chunks of that many. Other columns are not read.
     """
@@ -376,9 +378,10 @@ def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
             texts = [normalise(t) for t in batch.column(1).to_pylist()]
             ids = [lattice.run(t) for t in texts]
             crc = [zlib.crc32(t[1:].replace(SPACE, " ").encode()) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _int_lists(ids), pa.array(crc, pa.int64())], names=["doc_id", "ids", "text_crc32"])
+            marked = pc.match_substring(batch.column(1), SPACE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _int_lists(ids), pa.array(crc, pa.int64()), marked], names=["doc_id", "ids", "text_crc32", "marked"])
 
-    schema = "doc_id bigint, ids array<int>, text_crc32 bigint"
+    schema = "doc_id bigint, ids array<int>, text_crc32 bigint, marked boolean"
     short = base.where(~giant).mapInArrow(small, schema)
     long_rows = cut(base.where(giant).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
     if not long_rows.limit(1).count():
@@ -442,7 +445,7 @@ def _encode_giant(spark: SparkSession, rows: DataFrame, sent, chunk: int) -> Dat
     traced = parts.join(states, ["row", "part"]).select("row", "part", "a", "b", "piece", "ends").mapInArrow(backtrace, "row bigint, part int, ids array<int>")
     whole = traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"])).alias("ids"))
     expected = F.crc32(F.regexp_replace("text", SPACE, " ").cast("binary"))
-    return rows.select("row", "doc_id", expected.alias("text_crc32")).join(whole, "row").select("doc_id", "ids", "text_crc32")
+    return rows.select("row", "doc_id", expected.alias("text_crc32"), F.contains("text", F.lit(SPACE)).alias("marked")).join(whole, "row").select("doc_id", "ids", "text_crc32", "marked")
 
 
 def decode_pieces(encoded: DataFrame, model: bytes, ids_col: str = "ids") -> DataFrame:
@@ -485,3 +488,13 @@ def piece_digest(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "restored"])
 
     return encoded.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, restored boolean")
+
+
+def round_trip(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """doc_id, ids, text (what the ids decode to), restored (whether that is the row's own text; a NULL text counts as an empty one) of every row of docs.
+
+    A text with a word-start mark of its own is not restored: the mark decodes to a space.
+    """
+    back = decode_pieces(encode_pieces(docs, model, id_col, text_col, chunk), model)
+    restored = (F.crc32(F.col("text").cast("binary")) == F.col("text_crc32")) & ~F.col("marked")
+    return back.select("doc_id", "ids", "text", restored.alias("restored"))

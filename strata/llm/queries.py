@@ -10,7 +10,7 @@ from strata.llm.decontaminate import WINDOW, contamination
 from strata.llm.language import predict_language, train_language_model
 from strata.llm.licenses import scan_licenses
 from strata.llm.near_duplicates import near_duplicates
-from strata.llm.pieces import piece_digest
+from strata.llm.pieces import round_trip
 from strata.llm.quality import score_quality, train_quality_model
 from strata.llm.sharding import shard_documents
 from strata.llm.tokens import tokenize_to_files
@@ -36,7 +36,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
-        return piece_digest(_table(spark, sf_dir, "documents"), f.read())
+        return round_trip(_table(spark, sf_dir, "documents"), f.read())
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strata.llm.pieces import EDGE, SPACE, Lattice, cut_states, decode_ids, decode_pieces, encode_pieces, multiply, normalise, piece_bytes, piece_digest
+from strata.llm.pieces import EDGE, SPACE, Lattice, cut_states, decode_ids, decode_pieces, encode_pieces, multiply, normalise, piece_bytes, piece_digest, round_trip
 from tests.llm.helpers import rng, rows, table, words
 
 with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
@@ -79,3 +79,19 @@ def test_decoding(spark):
     back = decode_pieces(encode_pieces(docs, MODEL), MODEL)
     assert rows(back, "doc_id", "text") == sorted(((r.doc_id, (r.text or "").replace(SPACE, " ")) for r in docs.collect()), key=repr)
     assert encode_pieces(docs.limit(0), MODEL).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [1 << 16, 64])
+def test_round_trip(spark, chunk):
+    texts = ["a b", None, "", f"a{SPACE}b", SPACE, "x " * 100 + SPACE + " y" * 100, "x " * 200 + "z", (None, "中 😀"), (0, "a b")]
+    docs = table(spark, texts)
+    got = rows(round_trip(docs, MODEL, chunk=chunk), "doc_id", "ids", "text", "restored")
+    own = [(r.doc_id, r.text or "") for r in docs.collect()]
+    assert got == sorted(((i, LIBRARY.encode(t), t.replace(SPACE, " "), SPACE not in t) for i, t in own), key=repr)
+
+
+def test_query_gives_ids_and_text(spark, tmp_path):
+    from strata.llm.queries import op3_sentencepiece
+
+    table(spark, ["a b", f"a{SPACE}b"]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(op3_sentencepiece(spark, str(tmp_path)), "doc_id", "ids", "text", "restored") == [(0, LIBRARY.encode("a b"), "a b", True), (1, LIBRARY.encode(f"a{SPACE}b"), "a b", False)]
