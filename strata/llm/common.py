@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import os
+import re
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +16,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +27,20 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Only where neither is set and all executors live in this process, as in tests, a temporary folder serves; elsewhere that is
+    an error, as a machine's own folder is lost with it and hidden from the others.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='strata-')}"
+        if current.isDefined():
+            root = current.get()
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            root = f"file://{tempfile.mkdtemp(prefix='strata-')}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -42,11 +56,32 @@ def new_shared_path(spark: SparkSession, prefix: str) -> str:
     return f"{shared_dir(spark)}/{prefix}-{uuid.uuid4().hex}"
 
 
+def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and plain path of a URI or a local path."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate files, through the file system that Spark itself uses for it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 _SHIPPED: set[str] = set()
 
 
+#: Bytes of one Arrow batch between Spark and Python; Spark's own bound of 64 MB counts several times in each executor.
+ARROW_BYTES = 4 << 20
+_ARROW_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package's source to the executors once per application, so that Python workers can import it."""
+    """Send this package's source to the executors once per application, so that Python workers can import it.
+
+    Also bounds the session's Arrow batches by bytes, unless the session has a bound of its own.
+    """
+    if spark.conf.get(_ARROW_KEY) == "67108864b":
+        spark.conf.set(_ARROW_KEY, ARROW_BYTES)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -71,12 +106,47 @@ def holds(owner: str, forget: Callable[[], None]) -> None:
 
 
 def claim(owner: str) -> None:
-    """Begin work of one operator in this worker: caches that others left are emptied, so that stages do not add up."""
+    """Begin a task of one operator in this worker: caches that others left are emptied and freed memory goes back to the system,
+    so that stages do not add up."""
     if _HOLDER[0] != owner:
         for name, forget in _FORGET.items():
             if name != owner:
                 forget()
         _HOLDER[0] = owner
+    give_back()
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system; allocators keep it otherwise, for as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+class Recent(dict):
+    """A cache of bounded bytes: values by key, found when first asked for.
+
+    It has two generations: when the young one holds half of most_bytes it becomes the old one, from which keys that are asked for
+    again come back; the rest is lost with the next change.
+    """
+
+    ENTRY = 100  # of the dictionary itself
+
+    def __init__(self, find: Callable, most_bytes: int) -> None:
+        super().__init__()
+        self.find, self.room, self.held, self.old = find, most_bytes // 2, 0, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.find(key)
+        self.held += sys.getsizeof(key) + sys.getsizeof(got) + self.ENTRY
+        if self.held > self.room:
+            self.old = dict(self)
+            self.clear()
+            self.held = 0
+        self[key] = got
+        return got
 
 
 # --- columns ---------------------------------------------------------------
@@ -96,9 +166,10 @@ def may_train(id_col: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most max_rows labelled training texts as (id, text, label): the ids with the smallest hashes.
+    """At most max_rows labelled training rows (_id, text, label): the ids with the smallest hashes, one text of each.
 
-    The bound is the only limit; what is broadcast is the sampled (id, label) list, never more than max_rows rows.
+    The bound is the only limit, on ids and on rows: of an id with several rows the text with the smallest hash stands for
+    it. What is broadcast is the sampled (id, label) list, never more than max_rows rows.
     """
     picked = (
         labels.where(may_train(id_col) & F.col(label_col).isin(0, 1))
@@ -109,7 +180,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows
         .select(F.col(id_col).alias("_id"), "label")
     )
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(picked), "_id")
+    return texts.join(F.broadcast(picked), "_id").groupBy("_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label"))
 
 
 # --- Arrow batches ---------------------------------------------------------
@@ -131,15 +202,15 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a column has about `most` bytes in each; a longer single value stays whole."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each has at most `rows` rows and a column about `most` bytes; a longer single value stays whole."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         _, offsets = bytes_of(batch.column(batch.schema.get_field_index(column)))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+            to = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1))
             yield batch.slice(at, to - at)
             at = to
 

@@ -35,23 +35,43 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def ngram_counts(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-gram counts, a row for each text, and whether the text has letters. Anything but letters is a space."""
+@dataclass
+class Counts:
+    """Hashed n-gram counts of several texts as sparse rows: places of a text are [first[i], first[i + 1]), in order of buckets."""
+
+    first: np.ndarray
+    bucket: np.ndarray
+    count: np.ndarray
+    has_letters: np.ndarray
+
+    def row_sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums of values (one for each place) by text; 0 for a text without places."""
+        out = np.zeros(len(self.first) - 1)
+        full = np.flatnonzero(np.diff(self.first))
+        if len(full):
+            out[full] = np.add.reduceat(values, self.first[full])
+        return out
+
+
+def ngram_counts(column: pa.Array, dims: int) -> Counts:
+    """Hashed n-gram counts of each text. Anything but letters is a space. Memory follows the texts' length, not rows x dims."""
     raw, offsets = bytes_of(pc.utf8_lower(pc.fill_null(column, "")))
     n = len(offsets) - 1
     points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     places = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[offsets]
-    counts = np.zeros(n * dims, np.float32)
-    letters = _letters()
-    alpha = letters[points]
+    alpha = _letters()[points]
     has = np.add.reduceat(np.append(alpha, False), places[:-1]).astype(bool) & (np.diff(places) > 0) if n else np.zeros(0, bool)
-    shift = np.uint32(32 - int(dims).bit_length() + 1)
+    bits = int(dims).bit_length() - 1
+    shift = np.uint32(32 - bits)
+    kind = np.uint32 if n << bits < 1 << 32 else np.uint64
+    found, counts = np.zeros(0, kind), np.zeros(0, np.int64)
     for lo in range(0, len(points), _PIECE):
         hi = min(lo + _PIECE, len(points))
         part = np.where(alpha[lo : hi + max(ORDERS) - 1], points[lo : hi + max(ORDERS) - 1], np.uint32(32))
-        at = np.arange(lo, hi)
-        doc = np.searchsorted(places, at, "right") - 1 if n > 1 else np.zeros(hi - lo, np.int64)
-        room = places[doc + 1] - at
+        begin, end = np.searchsorted(places, [lo, hi - 1], "right") - 1
+        inside = np.diff(np.clip(places[begin : end + 2], lo, hi))
+        doc = np.repeat(np.arange(begin, end + 1, dtype=kind), inside)
+        room = np.repeat(places[begin + 1 : end + 2], inside) - np.arange(lo, hi)
         keys = []
         with np.errstate(over="ignore"):
             h = np.zeros(len(part), np.uint32)
@@ -61,9 +81,17 @@ def ngram_counts(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
                     m = min(len(h), hi - lo)
                     ok = (room[:m] >= k) & alpha[lo : lo + m] if k == 1 else (room[:m] >= k) & ((part[:m] != 32) | (part[1 : m + 1] != 32))
                     bucket = ((h[:m] + np.uint32(k)) * np.uint32(0x9E3779B1)) >> shift
-                    keys.append(doc[:m][ok] * dims + bucket[ok])
-        counts += np.bincount(np.concatenate(keys), minlength=n * dims).astype(np.float32)
-    return counts.reshape(n, dims), has
+                    keys.append((doc[:m] << kind(bits) | bucket)[ok])
+        keys = np.sort(np.concatenate(keys))
+        head = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+        own, times = keys[head], np.diff(np.append(head, len(keys)))
+        if len(found) and len(own) and own[0] <= found[-1]:  # a text that goes on from the last piece
+            found, at = np.unique(np.concatenate((found, own)), return_inverse=True)
+            counts = np.bincount(at, np.concatenate((counts, times)), len(found)).astype(np.int64)
+        else:
+            found, counts = np.concatenate((found, own)), np.concatenate((counts, times))
+    first = np.searchsorted(found, np.arange(n + 1, dtype=np.uint64) << np.uint64(bits)) if len(found) else np.zeros(n + 1, np.int64)
+    return Counts(first, (found & kind((1 << bits) - 1)).astype(np.int32), counts, has)
 
 
 @dataclass
@@ -79,16 +107,18 @@ class LanguageModel:
         """Whether the model recognises anything: not without training rows, nor where these gave no weights to tell languages apart."""
         return bool(self.languages) and (len(self.languages) == 1 or bool(self.weights.any() or self.bias.any()))
 
-    def logits(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        norm = np.sqrt((x * x).sum(1, keepdims=True))
-        return (x @ self.weights) / np.maximum(norm, 1e-9) + self.bias
+    def logits(self, counts: Counts) -> np.ndarray:
+        """Texts x languages; only the weights of n-grams that occur are read, a language at a time."""
+        x = np.log1p(counts.count) * self.idf[counts.bucket]
+        norm = np.maximum(np.sqrt(counts.row_sums(x * x)), 1e-9)
+        z = [counts.row_sums(x * column[counts.bucket]) / norm for column in np.ascontiguousarray(self.weights.T)]
+        return np.column_stack(z) + self.bias if z else np.zeros((len(norm), 0))
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
-        claim("language")
-        counts, has = ngram_counts(column, len(self.idf))
+        counts = ngram_counts(column, len(self.idf))
+        has = counts.has_letters
         if not self.languages:
-            return [UNKNOWN] * len(counts), np.zeros(len(counts))
+            return [UNKNOWN] * len(has), np.zeros(len(has))
         z = self.logits(counts) / self.temperature
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
@@ -143,14 +173,15 @@ def fit_temperature(z: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def train_language_model(docs: DataFrame, dims: int = DIMS, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Train on text and language of rows outside the held-out fold. Without such rows the model knows no language."""
+def train_language_model(docs: DataFrame, dims: int = DIMS, max_rows: int = MAX_ROWS, max_languages: int = MAX_LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Train on text and language of rows outside the held-out fold. Without such rows the model knows no language.
+
+    Of more than max_languages languages the most frequent ones are learned; texts in others get the nearest of these, mostly with
+    a low score. dims is a power of 2.
+    """
     ship_package(docs.sparkSession)
     known = docs.where(may_train(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    languages = [r[0] for r in known.select(F.col(lang_col).cast("string").alias("l")).groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(languages)
+    languages = sorted(r[0] for r in known.select(F.col(lang_col).cast("string").alias("l")).groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages).collect())
     if not languages:
         return LanguageModel([], np.ones(dims), np.zeros((dims, 0)), np.zeros(0))
 
@@ -158,8 +189,7 @@ def train_language_model(docs: DataFrame, dims: int = DIMS, max_rows: int = MAX_
         claim("language")
         total, rows = np.zeros(dims, np.int64), 0
         for batch in slices(batches, "text", _SLICE):
-            counts, _ = ngram_counts(batch.column(0), dims)
-            total += (counts > 0).sum(0)
+            total += np.bincount(ngram_counts(batch.column(0), dims).bucket, minlength=dims)
             rows += batch.num_rows
         at = np.append(np.flatnonzero(total), -1)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.append(total[at[:-1]], rows), pa.int64())], names=["bucket", "n"])
@@ -173,18 +203,21 @@ def train_language_model(docs: DataFrame, dims: int = DIMS, max_rows: int = MAX_
             df[r.bucket] = r.n
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    picked = known.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("label")).orderBy(F.xxhash64("_id"), "_id", "label").limit(max_rows).distinct()
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(picked), "_id").select("text", "label")
+    labelled = known.select(F.col(id_col).alias("_id"), F.struct(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("label")).alias("row")).where(F.col("row.label").isin(languages))
+    picked = labelled.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(max_rows).distinct()
+    # one row of each id, so that the bound holds for rows as well
+    sample = labelled.join(F.broadcast(picked), "_id").groupBy("_id").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.text", "row.label")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language")
         rows, y = [], []
         for batch in slices(batches, "text", _SLICE):
-            counts, has = ngram_counts(batch.column(0), dims)
-            for c, label, ok in zip(counts, batch.column(1).to_pylist(), has, strict=True):
+            counts = ngram_counts(batch.column(0), dims)
+            for a, b, label, ok in zip(counts.first, counts.first[1:], batch.column(1).to_pylist(), counts.has_letters, strict=False):
                 if ok:
-                    idx = np.flatnonzero(c)
-                    val = np.log1p(c[idx]) * idf[idx]
-                    rows.append((idx.astype(np.int32), (val / np.linalg.norm(val)).astype(np.float32)))
+                    idx = counts.bucket[a:b]
+                    val = np.log1p(counts.count[a:b]) * idf[idx]
+                    rows.append((idx, (val / np.linalg.norm(val)).astype(np.float32)))
                     y.append(languages.index(label))
         y = np.array(y, np.int64)
         spare = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
@@ -207,6 +240,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language")
         for batch in slices(batches, "text", _SLICE):
             langs, scores = sent.value.predict(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -228,6 +262,7 @@ def keep_known_languages(docs: DataFrame, model: LanguageModel, min_score: float
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language")
         renamed = (pa.RecordBatch.from_arrays(b.columns, names=[f"c{i}" if i != at else "text" for i in range(len(names))]) for b in batches)
         for batch in slices(renamed, "text", _SLICE):
             langs, scores = sent.value.predict(batch.column(at))

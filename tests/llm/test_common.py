@@ -51,6 +51,26 @@ def test_slices_keep_rows():
     assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(6)) and len(parts) >= 3
 
 
+def test_slices_bound_rows():
+    batch = pa.RecordBatch.from_pydict({"text": [""] * 10_001})
+    assert [p.num_rows for p in C.slices(iter([batch]), "text")] == [4096, 4096, 1809]
+
+
+def test_no_local_folder_on_a_cluster():
+    class Cluster:
+        master = "local-cluster[2,1,1024]"
+
+        class conf:
+            get = staticmethod(lambda key, other: other)
+
+    Cluster.sparkContext = Cluster
+    Cluster.getConf = lambda: Cluster.conf_
+    Cluster.conf_ = type("C", (), {"get": staticmethod(lambda key: None)})
+    Cluster._jsc = type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))})
+    with pytest.raises(ValueError, match="checkpoint"):
+        C.shared_dir(Cluster)
+
+
 def test_logistic():
     x = np.random.default_rng(1).normal(size=(500, 3))
     y = (x[:, 0] * 2 - x[:, 1] + 0.3 > 0).astype(float)
@@ -65,6 +85,6 @@ def test_sample(spark):
     docs = table(spark, [f"t{k}" for k in range(100)] + [(3, "again"), (None, "n")])
     labels = spark.createDataFrame([(k, k % 2) for k in range(100)] + [(5, None), (None, 1)], "doc_id BIGINT, toxic INT")
     got = C.labelled_sample(docs, labels, "toxic", 10).collect()
-    assert len({r["_id"] for r in got}) == 10 and not any(held_out(r["_id"]) for r in got)
+    assert len(got) == len({r["_id"] for r in got}) == 10 and not any(held_out(r["_id"]) for r in got)
     with pytest.raises(Exception):  # noqa: B017
         C.labelled_sample(docs, labels, "nope", 10).collect()
