@@ -1,172 +1,286 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, scanned over all text windows.
 
-The set holds 64-bit hashes of the items' windows with their words. Every text window is looked up (first in a bitmap of
-hash prefixes, then by binary search), and each hit is verified against the item's own words. The broadcast is built from
-the benchmark alone; its size is checked against MOST_WINDOWS, and a larger benchmark is scanned in several passes of
-bounded sets, each over all texts, whose hits are united per row.
+A set holds the items' words as one byte buffer, and sorted 64-bit hashes of their windows, each with the place of its first word
+and the items that hold it. Every text window is looked up (first in a bitmap of hash prefixes, then by binary search), and each
+hit is verified against the item's own bytes. Executors pack the sets, each of at most MOST_BYTES. A benchmark that surely fits
+into one set is broadcast; of a larger one the sets are files in the shared folder, which every task reads one after another
+over the texts it holds, so that texts are read once and all hits of a text are known before anything is decided.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
-import itertools
-from collections.abc import Iterator
+import pickle
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, ShortType
 
-from strata.llm.common import ALNUM, LOWER, bytes_of, claim, cut, ship_package, slices, window_hashes, word_hashes, word_spans
+from strata.llm.common import ALNUM, LOWER, bytes_of, claim, new_shared_path, open_fs, ship_package, slices, window_hashes, word_hashes, word_spans
 
 WINDOW = 10
-#: Windows in one broadcast set: at most about 150 MB with their words.
-MOST_WINDOWS = 1_000_000
+#: Bytes of one set.
+MOST_BYTES = 64 << 20
+#: Bytes that a set takes at most for a byte of item text: itself, and 36 for each word, of which two bytes hold one at most.
+BYTES_A_BYTE = 1 + 36 // 2
+#: Bytes of text that a task holds while it goes through several sets.
+HELD_BYTES = 32 << 20
+_VERIFIED = 4 << 20
 
-HIT_SCHEMA = "doc_id bigint, n_words bigint, spans array<bigint>, items array<bigint>"
 DIGEST_SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 
 
-def item_windows(texts: list[tuple[int, str]], window: int) -> list[tuple[int, tuple[bytes, ...]]]:
-    """(item_id, words) of each distinct window of each item; an item with fewer words, but not none, is one window."""
-    out = {}
-    for item, text in texts:
-        raw = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-        starts, ends, _ = word_spans(raw, np.array([0, len(raw)]), ALNUM)
-        whole = raw.tobytes()
-        words = [whole[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        k = min(window, len(words))
-        for i in range(len(words) - k + 1 if k else 0):
-            out[item, tuple(words[i : i + k])] = None
-    return list(out)
+def _equal_runs(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, k: int) -> np.ndarray:
+    """Whether the k words from i on and those from j on have equal bytes. a, b: (data, word starts, word ends)."""
+    out = np.zeros(len(i), bool)
+    step = np.arange(k)
+    for lo in range(0, len(i), 1 << 16):
+        x, y = i[lo : lo + (1 << 16), None] + step, j[lo : lo + (1 << 16), None] + step
+        n = a[2][x].astype(np.int64) - a[1][x]
+        same = np.flatnonzero((n == b[2][y].astype(np.int64) - b[1][y]).all(1))
+        weight = np.cumsum(n[same].sum(1))
+        at = 0
+        while at < len(same):
+            to = max(at + 1, int(np.searchsorted(weight, (weight[at - 1] if at else 0) + _VERIFIED, "right")))
+            rows = same[at:to]
+            m = n[rows].ravel()
+            begin = np.cumsum(m) - m
+            inner = np.arange(int(m.sum())) - np.repeat(begin, m)
+            differ = a[0][np.repeat(a[1][x[rows]].ravel(), m) + inner] != b[0][np.repeat(b[1][y[rows]].ravel(), m) + inner]
+            out[lo + rows] = np.add.reduceat(differ, begin[::k]) == 0
+            at = to
+    return out
 
 
 class WindowSet:
-    """Windows by length: sorted hashes, a bitmap of their prefixes, and for each hash its (words, items)."""
+    """Windows of some items by length, as flat arrays."""
 
     BITS = 20
 
-    def __init__(self, windows: list[tuple[int, tuple[bytes, ...]]]) -> None:
-        by_words: dict[tuple[bytes, ...], list[int]] = {}
-        for item, words in windows:
-            by_words.setdefault(words, []).append(item)
-        distinct = sorted({w for words in by_words for w in words})
-        at, ends, joined = 0, [], b"".join(distinct)
-        for w in distinct:
-            at += len(w)
-            ends.append(at)
-        e = np.array(ends, np.int64)
-        s = np.concatenate(([0], e[:-1])) if len(e) else e
-        hashes = dict(zip(distinct, word_hashes(np.frombuffer(joined, np.uint8), s, e), strict=True))
-        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, dict]] = {}
-        for k in sorted({len(w) for w in by_words}):
-            table: dict[int, list] = {}
-            for words, items in by_words.items():
-                if len(words) == k:
-                    h = int(window_hashes(np.array([hashes[w] for w in words], np.uint64), k)[0])
-                    table.setdefault(h, []).append((words, items))
-            sorted_hashes = np.array(sorted(table), np.uint64)
-            bitmap = np.zeros(1 << self.BITS, bool)
-            bitmap[(sorted_hashes >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
-            self.lengths[k] = (sorted_hashes, bitmap, table)
-
-    def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, list[tuple[int, int, list[int]]]]]:
-        """For texts of lower-cased bytes: their first words (n + 1 values), and verified hits (word, length, items) by text."""
-        starts, ends, first = word_spans(data, offsets, ALNUM)
-        found: dict[int, list] = {}
-        if not self.lengths or len(starts) == 0:
-            return first, found
-        hashes = word_hashes(data, starts, ends)
-        doc_of_end = first[1:]
-        for k, (sorted_hashes, bitmap, table) in self.lengths.items():
-            h = window_hashes(hashes, k)
-            maybe = np.flatnonzero(bitmap[(h >> np.uint64(64 - self.BITS)).astype(np.int64)])
-            if not len(maybe):
+    def __init__(self, ids: np.ndarray, column: pa.Array, window: int) -> None:
+        raw, offsets = bytes_of(column)
+        self.data = LOWER[raw]
+        starts, ends, first = word_spans(self.data, offsets, ALNUM)
+        words = word_hashes(self.data, starts, ends)
+        self.starts, self.ends = starts.astype(np.int32), ends.astype(np.int32)
+        counts = np.diff(first)
+        self.lengths: dict[int, tuple[np.ndarray, ...]] = {}
+        for k in np.unique(np.minimum(counts, window)).tolist():
+            if not k:
                 continue
-            j = np.minimum(np.searchsorted(sorted_hashes, h[maybe]), len(sorted_hashes) - 1)
-            maybe = maybe[sorted_hashes[j] == h[maybe]]
-            docs = np.searchsorted(doc_of_end, maybe, "right")
-            inside = maybe + k <= doc_of_end[docs]
-            for i, d in zip(maybe[inside].tolist(), docs[inside].tolist(), strict=True):
-                got = tuple(data[starts[q] : ends[q]].tobytes() for q in range(i, i + k))
-                for words, items in table[int(h[i])]:
-                    if words == got:
-                        found.setdefault(d, []).append((i - int(first[d]), k, items))
-        return first, found
-
-
-@functools.lru_cache(maxsize=4)
-def _built(key: str, loader) -> WindowSet:
-    return WindowSet(loader())
-
-
-def _hit_words(hits: list[tuple[int, int, list[int]]]) -> np.ndarray:
-    """[start, end) pairs of the united word runs, flat."""
-    runs: list[int] = []
-    for at, k, _ in sorted(hits, key=lambda x: x[0]):
-        if runs and at <= runs[-1]:
-            runs[-1] = max(runs[-1], at + k)
-        else:
-            runs += [at, at + k]
-    return runs
-
-
-def _read_items(benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int) -> Iterator[list]:
-    """Blocks of windows, each of at most `most`; one block is in the driver's memory at a time."""
-    block: list = []
-    rows = benchmark.select(F.col(item_col).cast("long"), text_col).where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull())
-    for item, text in rows.toLocalIterator():
-        block += item_windows([(item, text)], window)
-        while len(block) >= most:
-            yield block[:most]
-            block = block[most:]
-    yield block
-
-
-def _scanner(docs: DataFrame, windows: list, passthrough: bool):
-    """A function for mapInArrow over (id, text, ...); the set travels as one broadcast."""
-    spark: SparkSession = docs.sparkSession
-    sent = spark.sparkContext.broadcast(windows)
-    key = f"{spark.sparkContext.applicationId}-{sent._jbroadcast.id()}"
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, dict]]:
-        claim("decontamination")
-        matcher = _built(key, lambda: sent.value)
-        for batch in slices(batches, "text"):
-            raw, offsets = bytes_of(batch.column(batch.schema.get_field_index("text")))
-            data = LOWER[raw]
-            first, found = matcher.scan(data, offsets)
-            yield batch, data, offsets, first, found
-
-    return texts
-
-
-def _united(numbered: DataFrame, blocks: Iterator[list]) -> DataFrame:
-    """row, doc_id, n_words, spans (a list of each pass), items of every row of numbered (row, doc_id, text): a pass over it for each block of windows."""
-
-    def one_pass(windows: list) -> DataFrame:
-        texts = _scanner(numbered, windows, True)
-
-        def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, _, _, first, found in texts(batches):
-                runs, ids = [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
-                for d, hits in found.items():
-                    runs[d], ids[d] = _hit_words(hits), sorted({i for _, _, items in hits for i in items})
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(first)), pa.array(runs, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.int64()))], names=["row", "doc_id", "n_words", "spans", "items"])
-
-        return numbered.mapInArrow(spans, "row bigint, " + HIT_SCHEMA)
-
-    every = functools.reduce(DataFrame.unionAll, map(one_pass, blocks))
-    return every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-
-
-def _all_runs(spans: list[list[int]]) -> list[int]:
-    """The united word runs of several passes."""
-    return _hit_words([(r[i], r[i + 1] - r[i], []) for r in spans for i in range(0, len(r), 2)])
-
+            whole = window_hashes(words, k)
+            if k < window:
+                docs = np.flatnonzero(counts == k)
+                at = first[docs]
+            else:
+                at = np.arange(len(whole))
+                docs = np.searchsorted(first, at, "right") - 1
+                inside = at + k <= first[docs + 1]
+                at, docs = at[inside], docs[inside]
+            order = np.lexsort((ids[docs], whole[at]))
+            at, docs = at[order], docs[order]
+            h = whole[at]
+            new = np.ones(len(at), bool)
+            new[1:] = h[1:] != h[:-1]
+            again = np.flatnonzero(~new)
+            new[again] = ~_equal_runs(self.words, at[again], self.words, at[again - 1], k)
+            group = np.cumsum(new) - 1
+            item = ids[docs]
+            once = np.ones(len(at), bool)
+            once[1:] = new[1:] | (item[1:] != item[:-1])
+            head = np.flatnonzero(new)
+            self.lengths[k] = (h[head], at[head].astype(np.int32), np.concatenate(([0], np.cumsum(np.bincount(group[once], minlength=len(head))))).astype(np.int32), item[once])
+
+    @property
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.data, self.starts, self.ends
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (*self.words, *(x for t in self.lengths.values() for x in t)))
+
+    def bitmaps(self) -> dict[int, np.ndarray]:
+        out = {}
+        for k, (h, *_) in self.lengths.items():
+            out[k] = np.zeros(1 << self.BITS, bool)
+            out[k][(h >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
+        return out
+
+
+class Hits:
+    """Verified windows in some texts; grows from set to set."""
+
+    def __init__(self, column: pa.Array) -> None:
+        raw, self.offsets = bytes_of(column)
+        self.data = LOWER[raw]
+        self.starts, self.ends, self.first = word_spans(self.data, self.offsets, ALNUM)
+        self.hashes = word_hashes(self.data, self.starts, self.ends)
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.items: dict[int, set[int]] = {}
+
+    @property
+    def n_words(self) -> np.ndarray:
+        return np.diff(self.first)
+
+    def add(self, windows: WindowSet, bitmaps: dict[int, np.ndarray]) -> None:
+        for k, (known, at, item_first, items) in windows.lengths.items():
+            h = window_hashes(self.hashes, k)
+            maybe = np.flatnonzero(bitmaps[k][(h >> np.uint64(64 - WindowSet.BITS)).astype(np.int64)])
+            lo = np.searchsorted(known, h[maybe], "left")
+            n = np.searchsorted(known, h[maybe], "right") - lo
+            docs = np.searchsorted(self.first[1:], maybe, "right")
+            n[maybe + k > self.first[docs + 1]] = 0
+            # one entry nearly always; more only where different words share a hash
+            i, docs = np.repeat(maybe, n), np.repeat(docs, n)
+            j = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            right = _equal_runs((self.data, self.starts, self.ends), i, windows.words, at[j], k)
+            i, j, docs = i[right], j[right], docs[right]
+            if not len(i):
+                continue
+            self.runs.append((i, i + k))
+            pairs = np.unique(np.stack((docs, j)), axis=1)
+            for d, e in pairs.T.tolist():
+                self.items.setdefault(d, set()).update(items[item_first[e] : item_first[e + 1]].tolist())
+
+    def united(self) -> dict[int, np.ndarray]:
+        """[start, end) pairs of the united hit words, in the text's own words, by text."""
+        if not self.runs:
+            return {}
+        begin, end = (np.concatenate(x) for x in zip(*self.runs, strict=True))
+        order = np.argsort(begin, kind="stable")
+        begin, end = begin[order], np.maximum.accumulate(end[order])
+        doc = np.searchsorted(self.first[1:], begin, "right")
+        new = np.ones(len(begin), bool)
+        new[1:] = (begin[1:] > end[:-1]) | (doc[1:] != doc[:-1])
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(begin)) - 1
+        doc = doc[head]
+        pairs = np.stack((begin[head], end[tail]), 1) - self.first[doc][:, None]
+        cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+        return {int(doc[a]): pairs[a:b] for a, b in zip(cuts, np.append(cuts[1:], len(doc)), strict=True)}
+
+
+def _pack(most: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[bytes]]:
+    """Sets of at most `most` bytes from batches of (item, text); a longer item is cut into overlapping runs of words."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        ids: list[int] = []
+        texts: list[bytes] = []
+        size = 0
+        room = max(1, most // BYTES_A_BYTE)
+
+        def made() -> bytes:
+            return pickle.dumps(WindowSet(np.array(ids, np.int64), pa.array(texts, pa.large_binary()), window), protocol=5)
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_windows: int = MOST_WINDOWS) -> DataFrame:
+        for batch in slices(batches, "text"):
+            raw, offsets = bytes_of(batch.column(1))
+            for item, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                parts = [raw[a:b]]
+                if b - a > room:
+                    starts, ends, _ = word_spans(LOWER[parts[0]], np.array([0, b - a]), ALNUM)
+                    parts, k = [], 0
+                    while k < len(starts):
+                        to = max(min(k + window, len(starts)), int(np.searchsorted(ends, starts[k] + room, "right")))
+                        parts.append(raw[a + starts[k] : a + ends[to - 1]])
+                        k = len(starts) if to == len(starts) else to - window + 1
+                for part in parts:
+                    if texts and size + len(part) + 8 > room:
+                        yield made()
+                        ids.clear()
+                        texts.clear()
+                        size = 0
+                    ids.append(item)
+                    texts.append(part.tobytes())
+                    size += len(part) + 8
+        if texts:
+            yield made()
+
+    return pack
+
+
+Sets = Callable[[], Iterator[tuple[WindowSet, dict[int, np.ndarray]]]]
+
+
+def _sets(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int) -> tuple[Sets, bool]:
+    """A function that gives all sets, one after another, in a task; whether there are several."""
+    spark = docs.sparkSession
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    total = items.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+    pack = _pack(most, window)
+    if total * BYTES_A_BYTE <= most:
+
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array(list(pack(batches)), pa.binary())], names=["windows"])
+
+        # what comes to the driver and is broadcast is at most `most` bytes, as the sum above proves
+        row = items.repartition(1).mapInArrow(one, "windows binary").first()
+        packed = row[0] if row else pickle.dumps(WindowSet(np.zeros(0, np.int64), pa.array([], pa.binary()), window))
+        sent = spark.sparkContext.broadcast(bytes(packed))
+
+        def single() -> Iterator[tuple[WindowSet, dict[int, np.ndarray]]]:
+            windows = pickle.loads(sent.value)
+            yield windows, windows.bitmaps()
+
+        return single, False
+
+    folder = new_shared_path(spark, "windows")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, plain = open_fs(folder)
+        files.create_dir(plain, recursive=True)
+        names = []
+        for windows in pack(batches):
+            name = f"{uuid.uuid4().hex}.windows"
+            with files.open_output_stream(f"{plain}/{name}") as out:
+                out.write(windows)
+            names.append(f"{folder}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["path"])
+
+    spread = items.repartition(-(-total * BYTES_A_BYTE // most), F.xxhash64("item", "text"))
+    paths = [r[0] for r in spread.mapInArrow(write, "path string").collect()]  # a path for each set; files of lost tasks are not named
+
+    def each() -> Iterator[tuple[WindowSet, dict[int, np.ndarray]]]:
+        for path in paths:
+            files, plain = open_fs(path)
+            with files.open_input_stream(plain) as f:
+                windows = pickle.loads(f.read())
+            yield windows, windows.bitmaps()
+
+    return each, True
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], at: int, sets: Sets, several: bool) -> Iterator[tuple[pa.RecordBatch, Hits]]:
+    """Batches cut to size with all hits in their column numbered `at`."""
+    claim("decontamination")
+    kept = None if several else list(sets())
+    held: list[tuple[pa.RecordBatch, Hits]] = []
+    size = 0
+
+    def done() -> Iterator[tuple[pa.RecordBatch, Hits]]:
+        for windows, bitmaps in kept or sets():
+            for _, hits in held:
+                hits.add(windows, bitmaps)
+        yield from held
+        held.clear()
+
+    # slices goes by a column's name, and names may clash
+    numbered = (pa.RecordBatch.from_arrays(b.columns, names=[f"c{i}" for i in range(b.num_columns)]) for b in batches)
+    for part in slices(numbered, f"c{at}"):
+        hits = Hits(part.column(at))
+        held.append((part, hits))
+        size += len(hits.data) + 1
+        if not several or size >= HELD_BYTES:
+            yield from done()
+            size = 0
+    if held:
+        yield from done()
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word counts as hit if it stands inside any occurrence of any item window. Rows of the benchmark without an id or
@@ -174,41 +288,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     and items_sha256 is that of the empty string. Other columns are not read.
     """
     ship_package(docs.sparkSession)
-    base = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text")
-    blocks = _read_items(benchmark, item_col, item_text_col, window, most_windows)
-    first_block = next(blocks)
-    second = next(blocks, None)
-    if second is None:
-        texts = _scanner(docs, first_block, False)
-
-        def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, _, _, first, found in texts(batches):
-                n = batch.num_rows
-                n_hit, n_items = np.zeros(n, np.int64), np.zeros(n, np.int64)
-                shas = [_EMPTY] * n
-                for d, hits in found.items():
-                    runs = _hit_words(hits)
-                    ids = {i for _, _, items in hits for i in items}
-                    n_hit[d], n_items[d], shas[d] = sum(runs[1::2]) - sum(runs[::2]), len(ids), _sha(ids)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(n_hit), pa.array(n_items), pa.array(shas), pa.array(n_hit > 0)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-        return base.mapInArrow(digest, DIGEST_SCHEMA)
-
-    # a benchmark beyond one broadcast
-    numbered = cut(base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
-    united = _united(numbered, itertools.chain([first_block, second], blocks))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_hit, shas, n_items = [], [], []
-            for spans, items in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                runs = _all_runs(spans)
-                n_hit.append(sum(runs[1::2]) - sum(runs[::2]))
-                n_items.append(len(items))
-                shas.append(_sha(set(items)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(shas, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return united.select("doc_id", "n_words", "spans", "items").mapInArrow(finish, DIGEST_SCHEMA)
+    sets, several = _sets(docs, benchmark, item_col, item_text_col, window, most_bytes)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, hits in _scanned(batches, 1, sets, several):
+            n = batch.num_rows
+            n_hit, n_items, shas = np.zeros(n, np.int64), np.zeros(n, np.int64), [_EMPTY] * n
+            for d, runs in hits.united().items():
+                ids = hits.items[d]
+                n_hit[d], n_items[d], shas[d] = (runs[:, 1] - runs[:, 0]).sum(), len(ids), _sha(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits.n_words), pa.array(n_hit), pa.array(n_items), pa.array(shas), pa.array(n_hit > 0)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(digest, DIGEST_SCHEMA)
 
 
 def _sha(ids: set[int]) -> str:
@@ -218,66 +309,42 @@ def _sha(ids: set[int]) -> str:
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length_col: str | None = "n_chars", most_windows: int = MOST_WINDOWS) -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length_col: str | None = "n_chars", most_bytes: int = MOST_BYTES) -> DataFrame:
     """docs without benchmark passages, with the same columns.
 
     Hit words are cut out with what stands between them; a document of which more than drop_share of the words are hit goes
-    whole. Clean documents pass unchanged, as do NULL and empty texts. length_col, if docs has it, follows a cut text.
-    A benchmark beyond most_windows is looked up in several passes over the whole texts, whose hits are united before any text is cut.
+    whole. Clean documents pass unchanged, as do NULL and empty texts. length_col names the column of the text's length in
+    characters, which follows a cut text; docs without it, or with one of that name that is no integer, keep all other columns as
+    they are. However many sets a benchmark takes, all hits of a text are united before it is cut or dropped.
     """
     ship_package(docs.sparkSession)
     names = docs.columns
     at = names.index(text_col)
-    length_at = names.index(length_col) if length_col in names else None
-
-    def cleaned(columns: list[pa.Array], hit: dict[int, list[int]], n_words: np.ndarray) -> pa.RecordBatch:
-        column = columns[at]
-        keep, new = np.ones(len(column), bool), column.to_pylist()
-        for d, runs in hit.items():
-            if sum(runs[1::2]) - sum(runs[::2]) > drop_share * n_words[d]:
-                keep[d] = False
+    length_at = names.index(length_col) if length_col in names and isinstance(docs.schema[length_col].dataType, ShortType | IntegerType | LongType) else None
+    sets, several = _sets(docs, benchmark, item_col, item_text_col, window, most_bytes)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, hits in _scanned(batches, at, sets, several):
+            found = hits.united()
+            if not found:
+                yield pa.RecordBatch.from_arrays(batch.columns, names=names)
                 continue
-            raw = new[d].encode()
-            starts, ends, _ = word_spans(LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]), ALNUM)
-            parts, last = [], 0
-            for a, b in zip(runs[::2], runs[1::2], strict=True):
-                parts.append(raw[last : starts[a]])
-                last = ends[b - 1]
-            new[d] = b"".join([*parts, raw[last:]]).decode()
-        columns = list(columns)
-        columns[at] = pa.array(new, column.type)
-        if length_at is not None:
-            lengths = columns[length_at].to_pylist()
-            for d in hit:
-                lengths[d] = len(new[d])
-            columns[length_at] = pa.array(lengths, columns[length_at].type)
-        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
-
-    blocks = _read_items(benchmark, item_col, item_text_col, window, most_windows)
-    first_block = next(blocks)
-    second = next(blocks, None)
-    if second is None:
-        texts = _scanner(docs, first_block, True)
-
-        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            renamed = (pa.RecordBatch.from_arrays(b.columns, names=[f"c{i}" if i != at else "text" for i in range(len(names))]) for b in batches)
-            for batch, _, _, first, found in texts(renamed):
-                if not found:
-                    yield pa.RecordBatch.from_arrays(batch.columns, names=names)
+            columns = list(batch.columns)
+            keep, new = np.ones(batch.num_rows, bool), columns[at].to_pylist()
+            lengths = columns[length_at].to_pylist() if length_at is not None else None
+            for d, runs in found.items():
+                if (runs[:, 1] - runs[:, 0]).sum() > drop_share * hits.n_words[d]:
+                    keep[d] = False
                     continue
-                yield cleaned(batch.columns, {d: _hit_words(hits) for d, hits in found.items()}, np.diff(first))
-
-        return docs.mapInArrow(clean, docs.schema)
-
-    # a benchmark beyond one broadcast
-    numbered = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")))
-    texts_only = numbered.select("row", F.lit(None).cast("bigint").alias("doc_id"), F.col("doc").getField(text_col).alias("text"))
-    hits = _united(texts_only, itertools.chain([first_block, second], blocks)).select("row", "n_words", "spans")
-    flat = numbered.join(hits, "row").select("n_words", "spans", "doc.*").toDF("n_words", "spans", *(f"c{i}" for i in range(len(names))))
-
-    def clean_united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, f"c{at}"):
-            hit = {d: _all_runs(spans) for d, spans in enumerate(batch.column(1).to_pylist()) if any(spans)}
-            yield cleaned(batch.columns[2:], hit, batch.column(0).to_numpy())
-
-    return flat.mapInArrow(clean_united, docs.schema)
+                raw, base = new[d].encode(), int(hits.offsets[d])
+                cuts = np.stack((hits.starts[hits.first[d] + runs[:, 0]], hits.ends[hits.first[d] + runs[:, 1] - 1]), 1) - base
+                inner = [0, *cuts.ravel().tolist(), len(raw)]
+                new[d] = b"".join(raw[a:b] for a, b in zip(inner[::2], inner[1::2], strict=True)).decode()
+                if lengths is not None:
+                    lengths[d] = len(new[d])
+            columns[at] = pa.array(new, columns[at].type)
+            if lengths is not None:
+                columns[length_at] = pa.array(lengths, columns[length_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
+
+    return docs.mapInArrow(clean, docs.schema)

@@ -1,9 +1,11 @@
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from strata.llm.decontaminate import contamination, remove_contamination
+from strata.llm.decontaminate import BYTES_A_BYTE, Hits, WindowSet, contamination, remove_contamination
 from strata.llm.licenses import PHRASES, Automaton, compile_template, parse, scan_licenses, words_of
 from tests.llm.helpers import rng, rows, table, words
 
@@ -81,7 +83,7 @@ def test_contamination(spark):
     want = sorted(((t[0], *brute(t[1], items)) if isinstance(t, tuple) else (k, *brute(t, items)) for k, t in enumerate(texts)), key=repr)
     names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert rows(contamination(docs, bench), *names) == want
-    assert rows(contamination(docs, bench, most_windows=7), *names) == want
+    assert rows(contamination(docs, bench, most_bytes=4000), *names) == want
     assert contamination(docs.limit(0), bench).count() == 0
     assert contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
@@ -94,7 +96,7 @@ def test_removal(spark):
     kept = {r.doc_id: r for r in out.collect()}
     assert kept[0].text is None and kept[1].text == "" and kept[5].text == texts[5] and 2 not in kept and 7 not in kept
     assert kept[10].n_chars == len(kept[10].text) < len(texts[10]) and kept[10].text.startswith(texts[10][:1000])
-    several = remove_contamination(docs, bench, most_windows=7)
+    several = remove_contamination(docs, bench, most_bytes=4000)
     assert contamination(several, bench).where("contaminated").count() == 0
 
 
@@ -108,6 +110,35 @@ def test_removal_in_passes_is_removal_in_one(spark):
     docs, bench = table(spark, texts), spark.createDataFrame(items, "item_id BIGINT, text STRING")
     one = remove_contamination(docs, bench)
     assert len(texts) - 4 not in {d.doc_id for d in one.collect()}
-    for most in (7, 20):
-        several = remove_contamination(docs, bench, most_windows=most)
+    for most in (900, 4000):
+        several = remove_contamination(docs, bench, most_bytes=most)
         assert several.columns == docs.columns and rows(several, *docs.columns) == rows(one, *docs.columns)
+
+
+def test_sets_are_small_and_equal_windows_are_one(spark):
+    r = rng(8)
+    a = words(r, 3000, 10**6)
+    ids, texts = [7, 9, 9, 3, 4], [a, a, a, "Two  words", None]
+    s = WindowSet(np.array(ids), pa.array([t or "" for t in texts]), 10)
+    text = sum(len(t or "") for t in texts)
+    assert s.nbytes <= BYTES_A_BYTE * text and len(s.lengths[10][0]) == 2991 and set(s.lengths) == {2, 10}
+    assert s.lengths[10][2].tolist() == list(range(0, 2 * 2992, 2)) and s.lengths[10][3][:4].tolist() == [7, 9, 7, 9]
+    hits = Hits(pa.array(["x " + a, "", None, "TWO, words", a[:40]]))
+    hits.add(s, s.bitmaps())
+    assert {d: x.tolist() for d, x in hits.united().items()} == {0: [[1, 3001]], 3: [[0, 2]]} and hits.items == {0: {7, 9}, 3: {3}}
+
+
+def test_giant_item_over_several_sets(spark):
+    r = rng(9)
+    item = words(r, 900, 10**6)
+    docs = table(spark, [item, "a " + " ".join(item.split()[400:425]) + " b " * 99, words(r, 50)])
+    bench = spark.createDataFrame([(1, item), (None, words(r, 20))], "item_id BIGINT, text STRING")
+    one, several = (rows(contamination(docs, bench, most_bytes=m), "doc_id", "n_words", "n_hit", "n_items") for m in (1 << 26, 9000))
+    assert one == several and [r[2] for r in one] == [900, 25, 0]
+
+
+def test_a_column_named_like_the_length_stays(spark):
+    a = words(rng(10), 12)
+    docs = spark.createDataFrame([(1, "x " * 30 + a, "mine")], "doc_id BIGINT, text STRING, n_chars STRING")
+    (row,) = remove_contamination(docs, spark.createDataFrame([(1, a)], "item_id BIGINT, text STRING")).collect()
+    assert row.n_chars == "mine" and a not in row.text
