@@ -18,7 +18,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import claim, cut, holds, ship_package, slices
+from strata.llm.common import Recent, bytes_of, claim, cut, holds, ship_package, slices
 
 SPACE = "▁"
 CHUNK = 1 << 16
@@ -40,24 +39,11 @@ State = tuple[int, int, int]
 Matrix = dict[State, dict[State, float]]
 
 
-class _Words(dict):
-    """Ids of a word after one mark, by the word, found when first asked for."""
-
-    def __init__(self, lattice: Lattice, items: Iterable[tuple[str, bytes]]) -> None:
-        super().__init__(items)
-        self.lattice = lattice
-
-    def __missing__(self, word: str) -> bytes:
-        got = self.lattice.word(SPACE + word)
-        if len(word) <= 64:
-            self[word] = got
-        return got
-
-
 class Lattice:
     """Pieces of a model, their compatibility, and shortest paths between states."""
 
-    MOST = 800_000
+    #: Bytes that remembered words (with and without a mark in front), ends of words and pairs of pieces may take.
+    WORD_BYTES, BARE_BYTES, TAIL_BYTES, PAIRS = 48 << 20, 16 << 20, 2 << 20, 200_000
 
     def __init__(self, model: bytes) -> None:
         import sentencepiece
@@ -77,8 +63,9 @@ class Lattice:
             raise ValueError("pieces reach over the start of a word")
         self.pairs: dict[int, dict[int, bool]] = {}
         self.n_pairs = 0
-        self.words = _Words(self, ())
-        self.tails: dict[str, bytes] = {}
+        self.words = Recent(lambda w: self.word(SPACE + w), self.WORD_BYTES)
+        self.bare = Recent(self.word, self.BARE_BYTES)
+        self.tails = Recent(self.word, self.TAIL_BYTES)
         #: Every beginning of a piece: the piece's id, or PREFIX if it is none or can never come out of merging.
         self.table: dict[str, int] = {}
         for p, k in self.ids.items():
@@ -88,6 +75,10 @@ class Lattice:
                 self.table[p] = k
             else:
                 self.table.setdefault(p, PREFIX)
+        # characters that are in no piece but their own: nothing reaches over them
+        joined = {c for p in self.ids if len(p) > 1 for c in p}
+        lone = [c for c in map(chr, range(128)) if c not in joined]
+        self.lone = re.compile(f"([{re.escape(''.join(lone))}])") if lone else None
         # marks that no piece has after a letter or digit: a word splits before them
         after = {p[i + 1] for p in self.ids for i in range(len(p) - 1) if p[i].isalnum()}
         breaks = [c for c in map(chr, range(128)) if not c.isalnum() and c != "_" and c not in after]
@@ -118,8 +109,8 @@ class Lattice:
             p, q = self.pieces[a], self.pieces[b]
             got = row[b] = self.merged(p + q) == [p, q]
             self.n_pairs += 1
-            if self.n_pairs > 1_000_000:
-                self.pairs, self.n_pairs = {}, 0
+            if self.n_pairs > self.PAIRS:
+                self.pairs, self.n_pairs = {a: {b: got}}, 1
         return got
 
     def forward(self, text: str, begin: int, end: int, before: int | None) -> dict[int, tuple[int, int]]:
@@ -175,37 +166,44 @@ class Lattice:
         return path[::-1]
 
     def word(self, w: str) -> bytes:
-        """Ids of a word that starts with word-start marks, or of a text's beginning without any."""
+        """Ids of a word that starts with word-start marks, or of a stretch without any at a text's beginning or after a lone character."""
+        if self.lone is not None and self.lone.search(w) is not None:
+            first, *others = self.lone.split(w)
+            return (self.word(first) if first else b"") + b"".join([self.bare[p] if k % 2 else self.spelled(p, [(0, 1, self.table.get(p, UNKNOWN))]) for k, p in enumerate(others) if p])
         m = self.tail.fullmatch(w)
         if m is None:
             return self.spelled(w, self.trace(w, self.forward(w, 0, len(w), None), 0, len(w)))
         body = self.words[m[1][1:]] if m[1][:1] == SPACE and m[1][1:2] != SPACE else self.word(m[1])
-        if m[2] not in self.tails:
-            if len(self.tails) > 10_000:
-                self.tails.clear()
-            self.tails[m[2]] = self.word(m[2])
         return body + self.tails[m[2]]
 
+    def _known(self, word: str) -> bytes:
+        """A very long word is not remembered."""
+        return self.words[word] if len(word) <= 64 else self.word(SPACE + word)
+
     def run(self, text: str) -> bytes:
         """Ids of a stretch that begins with a mark at a word start (or is a text's beginning) and ends at a word start."""
-        parts = text.split(SPACE)
-        head = self.word(parts[0]) if parts[0] else b""
-        del parts[0]
-        if "" not in parts:
-            out = head + b"".join(map(self.words.__getitem__, parts))
-        else:
-            made, marks = [head], 0
-            for p in parts:
-                marks += 1
-                if p:
-                    made.append(self.words[p] if marks == 1 else self.word(SPACE * marks + p))
-                    marks = 0
-            if marks:
-                made.append(self.word(SPACE * marks))
-            out = b"".join(made)
-        if len(self.words) > self.MOST:  # the older half goes
-            self.words = _Words(self, islice(self.words.items(), len(self.words) // 2, None))
-        return out
+        head, *parts = text.split(SPACE)
+        return (self.word(head) if head else b"") + self._after_marks(parts)
+
+    def whole(self, text: str) -> bytes:
+        """Ids of a whole text, as run(normalise(text)) gives them."""
+        if not text:
+            return b""
+        return self.run(normalise(text)) if SPACE in text else self._after_marks(text.split(" "))
+
+    def _after_marks(self, parts: list[str]) -> bytes:
+        """Ids of what stands after each of a stretch's marks."""
+        if "" not in parts and max(map(len, parts), default=0) <= 64:
+            return b"".join(map(self.words.__getitem__, parts))
+        made, marks = [], 0
+        for p in parts:
+            marks += 1
+            if p:
+                made.append(self._known(p) if marks == 1 else self.word(SPACE * marks + p))
+                marks = 0
+        if marks:
+            made.append(self.word(SPACE * marks))
+        return b"".join(made)
 
     # --- chunks: text holds up to `longest` characters of context on both sides; a and b are its cuts ---
 
@@ -325,16 +323,52 @@ def piece_bytes(sp) -> list[bytes]:
     return out
 
 
-def decode_ids(spelling: list[bytes], ids: Iterable[int]) -> str:
-    raw = b"".join(map(spelling.__getitem__, ids)).decode("utf-8", "replace")
-    return raw[1:] if raw.startswith(" ") else raw
+class Spelling:
+    """What each id spells, as one byte buffer."""
+
+    def __init__(self, pieces: list[bytes]) -> None:
+        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+        self.sizes = np.array([len(p) for p in pieces], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def texts(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The texts that runs of ids spell; run i is ids[offsets[i] : offsets[i + 1]]. Bytes that are no UTF-8 give replacement characters."""
+        size = self.sizes[ids]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        raw = self.data[np.repeat(self.starts[ids] - ends[:-1], size) + np.arange(ends[-1])]
+        at = ends[offsets]
+        # the mark in front of a text is not part of it
+        marked = np.flatnonzero(np.diff(at))
+        marked = marked[raw[at[marked]] == 32]
+        keep = np.ones(len(raw), bool)
+        keep[at[marked]] = False
+        gone = np.zeros(len(at), np.int64)
+        gone[marked + 1] = 1
+        raw, at = raw[keep], at - np.cumsum(gone)
+        data = raw.tobytes()
+        full = np.flatnonzero(np.diff(at))
+        try:
+            data.decode()
+            if ((raw[at[full]] & 0xC0) == 0x80).any():
+                raise ValueError("a character goes from one text into the next")
+        except ValueError:
+            return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)], pa.string())
+        return pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
 
 
 @functools.lru_cache(maxsize=2)
-def _spelling(model: bytes) -> list[bytes]:
+def _spelling(model: bytes) -> Spelling:
     import sentencepiece
 
-    return piece_bytes(sentencepiece.SentencePieceProcessor(model_proto=model))
+    return Spelling(piece_bytes(sentencepiece.SentencePieceProcessor(model_proto=model)))
+
+
+def _same_texts(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """Whether texts are equal byte by byte; NULL counts as empty."""
+    (a, i), (b, j) = bytes_of(x), bytes_of(y)
+    if np.array_equal(i, j) and np.array_equal(a, b):
+        return np.ones(len(x), bool)
+    return np.array([np.array_equal(a[k:m], b[n:o]) for k, m, n, o in zip(i, i[1:], j, j[1:], strict=False)], bool)
 
 
 _LATTICES: dict[int, Lattice] = {}
@@ -342,6 +376,7 @@ holds("pieces", _LATTICES.clear)
 
 
 def _lattice(model: bytes) -> Lattice:
+    """The model's lattice with its cache; asked for once a task."""
     claim("pieces")
     key = zlib.crc32(model)
     if key not in _LATTICES:
@@ -354,39 +389,56 @@ def _lattice(model: bytes) -> Lattice:
 _BATCH = 1 << 20
 
 
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values, and where each list begins (n + 1 places); a NULL list is an empty one."""
+    sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes)))
+
+
 def _int_lists(values: list[bytes]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(v) // 4 for v in values]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(values), "<i4")))
 
 
 def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """doc_id, ids (array<int>), text_crc32 (of the text that decoding must give back), marked of every row of docs.
+    """doc_id, ids (array<int>) of every row of docs.
 
-    marked: the text holds a word-start mark itself, for which text_crc32 has a space, as decoding cannot give it back.
     NULL and empty texts have no ids. Repeated rows are repeated, a NULL id is kept. Texts of more than `chunk` characters go
     through chunks of that many. Other columns are not read.
     """
+    return _encoded(docs, model, id_col, text_col, chunk, False)
+
+
+def _encoded(docs: DataFrame, model: bytes, id_col: str, text_col: str, chunk: int, back: bool) -> DataFrame:
+    """doc_id, ids; with `back` also the text that the ids spell and whether it is the row's own."""
     spark = docs.sparkSession
     ship_package(spark)
     sent = spark.sparkContext.broadcast(model)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     giant = F.length("text") >= chunk
+    schema = "doc_id bigint, ids array<int>" + ", text string, restored boolean" * back
+    names = ["doc_id", "ids", *["text", "restored"] * back]
+
+    def finished(doc_id: pa.Array, ids: pa.Array, text: pa.Array) -> pa.RecordBatch:
+        if not back:
+            return pa.RecordBatch.from_arrays([doc_id, ids], names=names)
+        spelled = _spelling(sent.value).texts(*_flat(ids))
+        return pa.RecordBatch.from_arrays([doc_id, ids, spelled, pa.array(_same_texts(spelled, text))], names=names)
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(sent.value)
         for batch in slices(batches, "text", _BATCH):
-            texts = [normalise(t) for t in batch.column(1).to_pylist()]
-            ids = [lattice.run(t) for t in texts]
-            crc = [zlib.crc32(t[1:].replace(SPACE, " ").encode()) for t in texts]
-            marked = pc.match_substring(batch.column(1), SPACE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _int_lists(ids), pa.array(crc, pa.int64()), marked], names=["doc_id", "ids", "text_crc32", "marked"])
+            yield finished(batch.column(0), _int_lists([lattice.whole(t) for t in batch.column(1).to_pylist()]), batch.column(1))
+
+    def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", _BATCH):
+            yield finished(*batch.columns)
 
-    schema = "doc_id bigint, ids array<int>, text_crc32 bigint, marked boolean"
     short = base.where(~giant).mapInArrow(small, schema)
     long_rows = cut(base.where(giant).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
     if not long_rows.limit(1).count():
         return short
-    return short.unionAll(_encode_giant(spark, long_rows, sent, chunk))
+    return short.unionAll(_encode_giant(spark, long_rows, sent, chunk).select("doc_id", "ids", "text").mapInArrow(large, schema))
 
 
 def _encode_giant(spark: SparkSession, rows: DataFrame, sent, chunk: int) -> DataFrame:
@@ -444,15 +496,15 @@ def _encode_giant(spark: SparkSession, rows: DataFrame, sent, chunk: int) -> Dat
 
     traced = parts.join(states, ["row", "part"]).select("row", "part", "a", "b", "piece", "ends").mapInArrow(backtrace, "row bigint, part int, ids array<int>")
     whole = traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"])).alias("ids"))
-    expected = F.crc32(F.regexp_replace("text", SPACE, " ").cast("binary"))
-    return rows.select("row", "doc_id", expected.alias("text_crc32"), F.contains("text", F.lit(SPACE)).alias("marked")).join(whole, "row").select("doc_id", "ids", "text_crc32", "marked")
+    return rows.join(whole, "row").select("row", "doc_id", "text", "ids")
 
 
-def decode_pieces(encoded: DataFrame, model: bytes, ids_col: str = "ids") -> DataFrame:
-    """encoded with a column text: the text that its ids spell. NULL ids give NULL."""
+def decode_pieces(encoded: DataFrame, model: bytes, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
+    """encoded with the column out_col, the text that its ids spell; a column of that name gives way. NULL ids give NULL."""
     ship_package(encoded.sparkSession)
     sent = encoded.sparkSession.sparkContext.broadcast(model)
-    names = encoded.columns
+    other = encoded.select([c for c in encoded.columns if c != out_col])
+    names = [*other.columns, out_col]
     at = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,41 +512,19 @@ def decode_pieces(encoded: DataFrame, model: bytes, ids_col: str = "ids") -> Dat
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts = [None if x is None else decode_ids(spelling, x) for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, "text"])
-
-    return encoded.mapInArrow(run, encoded.select("*", F.lit("").alias("text")).schema)
-
-
-def piece_digest(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), restored (decoding gave the text back).
-
-    A word-start mark in a text decodes to a space, as the encoding cannot tell them apart; restored allows for that.
-    """
-    encoded = encode_pieces(docs, model, id_col, text_col, chunk)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling = _spelling(sent.value)
-        for batch in batches:
-            column = batch.column(1)
-            flat, offsets = column.flatten().to_numpy(), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
-            n, crc, same = [], [], []
-            for a, b, want in zip(offsets, offsets[1:], batch.column(2).to_pylist(), strict=False):
-                ids = flat[a:b]
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.astype("<i4").tobytes()))
-                same.append(zlib.crc32(decode_ids(spelling, ids.tolist()).encode()) == want)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "restored"])
+                column = part.column(at)
+                texts = spelling.texts(*_flat(column))
+                if column.null_count:
+                    texts = pc.if_else(column.is_valid(), texts, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=names)
 
-    return encoded.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, restored boolean")
+    return other.mapInArrow(run, other.select("*", F.lit(None).cast("string").alias(out_col)).schema)
 
 
 def round_trip(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """doc_id, ids, text (what the ids decode to), restored (whether that is the row's own text; a NULL text counts as an empty one) of every row of docs.
 
-    A text with a word-start mark of its own is not restored: the mark decodes to a space.
+    A text with a word-start mark of its own is not restored: the mark decodes to a space. Each text is encoded and its ids
+    decoded in one step, so that neither texts nor ids travel in between.
     """
-    back = decode_pieces(encode_pieces(docs, model, id_col, text_col, chunk), model)
-    restored = (F.crc32(F.col("text").cast("binary")) == F.col("text_crc32")) & ~F.col("marked")
-    return back.select("doc_id", "ids", "text", restored.alias("restored"))
+    return _encoded(docs, model, id_col, text_col, chunk, True)

@@ -28,16 +28,14 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import claim, cut, holds, new_shared_path, ship_package, slices
+from strata.llm.common import Recent, claim, cut, holds, new_shared_path, open_fs, ship_package, slices
 
 END_ID = 2
 MAGIC = b"STRATSS1"
@@ -54,11 +52,6 @@ LETTER_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # --- files -----------------------------------------------------------------
 
 
-def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system and plain path of a URI or a local path."""
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 def encode_key(doc_id: int | None) -> bytes:
     return b"" if doc_id is None else struct.pack(">Q", (doc_id + (1 << 63)) & ((1 << 64) - 1))
 
@@ -228,18 +221,6 @@ def _tokenizer(definition: str):
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^`{|}~]*)")
 
 
-class _Known(dict):
-    """Ids by piece, found when first asked for."""
-
-    def __init__(self, find: Callable[[bytes], bytes], items: Iterable[tuple[bytes, bytes]]) -> None:
-        super().__init__(items)
-        self.find = find
-
-    def __missing__(self, piece: bytes) -> bytes:
-        got = self[piece] = self.find(piece)
-        return got
-
-
 class WordCache:
     """Token ids of white-space-separated pieces, by the tokenizers library, each distinct piece once.
 
@@ -248,14 +229,16 @@ class WordCache:
     every other piece goes through its whole chain.
     """
 
-    MOST = 800_000
+    #: Bytes that remembered pieces may take.
+    PIECE_BYTES = 64 << 20
 
     def __init__(self, definition: str) -> None:
         self.tokenizer = _tokenizer(definition)
         self.model = self.tokenizer.model
         self.token_bytes = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.token_bytes}")
-        self.known = _Known(self.ids, ())
+        self.known = Recent(self.ids, self.PIECE_BYTES)
+        self.marks = Recent(lambda marks: b"".join([self.pack(t.id) for t in self.model.tokenize(marks)]), 1 << 20)
         self.end = np.array([END_ID], self.dtype).tobytes()
         self.pack = struct.Struct("<H" if self.token_bytes == 2 else "<I").pack
         rules = json.loads(definition)
@@ -273,21 +256,10 @@ class WordCache:
         if m is None:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         out = b"".join([self.pack(t.id) for t in self.model.tokenize(m[1].lower().translate(self.spelling))])
-        if m[2]:
-            marks = m[2].encode()
-            if marks not in self.known:
-                self.known[marks] = b"".join([self.pack(t.id) for t in self.model.tokenize(m[2])])
-            out += self.known[marks]
-        return out
+        return out + self.marks[m[2]] if m[2] else out
 
     def encode(self, texts: Iterable[bytes]) -> list[bytes]:
-        known, out = self.known, []
-        for t in texts:
-            words = t.split()
-            out.append(b"".join(map(known.__getitem__, words)) + self.end)
-            if len(known) > self.MOST:  # the older half goes
-                known = self.known = _Known(self.ids, islice(known.items(), len(known) // 2, None))
-        return out
+        return [b"".join(map(self.known.__getitem__, t.split())) + self.end for t in texts]
 
 
 _CACHES: dict[int, WordCache] = {}

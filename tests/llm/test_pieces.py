@@ -1,5 +1,3 @@
-import zlib
-
 import numpy as np
 import public_tokenizers
 import pytest
@@ -7,14 +5,14 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strata.llm.pieces import EDGE, SPACE, Lattice, cut_states, decode_ids, decode_pieces, encode_pieces, multiply, normalise, piece_bytes, piece_digest, round_trip
+from strata.llm.pieces import EDGE, SPACE, Lattice, Spelling, cut_states, decode_pieces, encode_pieces, multiply, normalise, piece_bytes, round_trip
 from tests.llm.helpers import rng, rows, table, words
 
 with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
     MODEL = f.read()
 LIBRARY = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
 LATTICE = Lattice(MODEL)
-SPELLING = piece_bytes(LIBRARY)
+SPELLING = Spelling(piece_bytes(LIBRARY))
 
 parts = st.sampled_from(["a", "th", "ing", "The", " ", "  ", "     ", "\n", "\t", "é", "ß", "中", "😀", "1", "22", "....", "--", SPACE, "\x00", "er", "tion"])
 texts = st.lists(parts, max_size=40).map("".join)
@@ -28,8 +26,10 @@ def ids_of(data):
 @given(texts)
 def test_words_equal_the_library(text):
     ids = ids_of(LATTICE.run(normalise(text)))
-    assert ids == LIBRARY.encode(text)
-    assert decode_ids(SPELLING, ids) == text.replace(SPACE, " ") == LIBRARY.decode(ids)
+    assert ids == ids_of(LATTICE.whole(text)) == LIBRARY.encode(text)
+    flat = np.array(ids * 2, np.int64)
+    assert SPELLING.texts(flat, np.array([0, len(ids), len(ids), len(flat)])).to_pylist() == [text.replace(SPACE, " "), "", text.replace(SPACE, " ")]
+    assert LIBRARY.decode(ids) == text.replace(SPACE, " ")
 
 
 def chunks(text, size):
@@ -70,8 +70,8 @@ def test_documents(spark, chunk):
     got = rows(encode_pieces(docs, MODEL, chunk=chunk), "doc_id", "ids")
     want = sorted(((r.doc_id, LIBRARY.encode(r.text or "")) for r in docs.collect()), key=repr)
     assert got == want
-    digest = piece_digest(docs, MODEL, chunk=chunk).collect()
-    assert all(r.restored for r in digest) and sorted((r.n_tokens, r.ids_crc32) for r in digest) == sorted((len(i), zlib.crc32(np.array(i, "<i4").tobytes())) for _, i in want)
+    trip = round_trip(docs, MODEL, chunk=chunk)
+    assert rows(trip, "doc_id", "ids") == want and all(r.restored == (SPACE not in r.text and r.ids != LIBRARY.encode(f"a{SPACE}b")) for r in trip.collect())
 
 
 def test_decoding(spark):
@@ -95,3 +95,28 @@ def test_query_gives_ids_and_text(spark, tmp_path):
 
     table(spark, ["a b", f"a{SPACE}b"]).write.parquet(f"{tmp_path}/documents.parquet")
     assert rows(op3_sentencepiece(spark, str(tmp_path)), "doc_id", "ids", "text", "restored") == [(0, LIBRARY.encode("a b"), "a b", True), (1, LIBRARY.encode(f"a{SPACE}b"), "a b", False)]
+
+
+def test_ids_that_spell_no_utf8():
+    e = [LATTICE.byte_ids[b] for b in "é".encode()]
+    a = LATTICE.ids["a"]
+    ids = np.array([e[0], e[1], a, *e, e[0]])
+    assert SPELLING.texts(ids, np.array([0, 1, 3, 5, 6])).to_pylist() == ["\ufffd", "\ufffda", "é", "\ufffd"]
+
+
+def test_caches_are_bounded_and_forgetting_changes_nothing(monkeypatch):
+    monkeypatch.setattr(Lattice, "WORD_BYTES", 4000)
+    monkeypatch.setattr(Lattice, "BARE_BYTES", 2000)
+    monkeypatch.setattr(Lattice, "TAIL_BYTES", 2000)
+    monkeypatch.setattr(Lattice, "PAIRS", 5)
+    small, r = Lattice(MODEL), rng(3)
+    for _ in range(30):
+        text = "\n".join(words(r, 20).replace("w", r.choice(["The", "x.", "é"])) for _ in range(3))
+        assert ids_of(small.whole(text)) == LIBRARY.encode(text)
+    assert max(len(small.words), len(small.words.old), len(small.bare), len(small.tails)) < 25
+
+
+def test_decoding_replaces_a_column_and_keeps_nulls(spark):
+    enc = spark.createDataFrame([(1, LIBRARY.encode("a b"), "old"), (2, None, "old"), (3, [], "old")], "n BIGINT, ids ARRAY<INT>, text STRING")
+    back = decode_pieces(enc, MODEL)
+    assert back.columns == ["n", "ids", "text"] and rows(back, "n", "text") == [(1, "a b"), (2, None), (3, "")]
