@@ -8,9 +8,10 @@ frequent shingles, those are dealt into classes by hash and the prefix is extend
 first of each make up what is missing: two linked sets then share two shingles of one class, so pairs of a class are
 indexed instead of single frequent shingles. Class counts follow the set's size, which keeps pairs linear in it.
 
-Candidates are never expanded to all pairs of a bucket: each bucket is first compared with one pivot (the member with the
-fewest rare shingles), links are closed to components, and only members of different components are compared further. Equal sets
-are one node throughout. What is broadcast are bitmaps of bounded size; a false bit only costs work, never a link.
+Large buckets are never expanded to all their pairs: each bucket is first compared with one pivot (the member with the
+fewest rare shingles), links are closed to components, and only members of different components are compared further. What is
+left of a large bucket is compared block by block against sketches, which hand on only pairs that may link; texts that share much
+boilerplate and do not link cost comparisons there, but no candidates. Equal sets are one node throughout. What is broadcast are bitmaps of bounded size; a false bit only costs work, never a link.
 
 Passes over the texts recompute shingles instead of storing them: sets (n, node), shingle counts, prefixes, and the sets
 of candidate nodes for verification.
@@ -18,10 +19,12 @@ of candidate nodes for verification.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +39,8 @@ BUCKETS = 256
 #: Distinct nodes, modulo 64, from which a shingle counts as frequent.
 FREQUENT_BITS = 4
 SMALL_BUCKET = 32
+#: Members of a block of a large bucket.
+BLOCK = 1024
 LEAST_BITMAP, MOST_BITMAP = 1 << 16, 1 << 26
 STAR_ROUNDS = 1
 #: Links that one task may unite; more go through distributed rounds.
@@ -105,6 +110,13 @@ def sketches(s: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * BUCKETS, BUCKETS, dtype=np.int32)), pa.py_buffer(data)])
 
 
+def sketches_allow(x: np.ndarray, y: np.ndarray, nx: np.ndarray | int, ny: np.ndarray, similarity: int) -> np.ndarray:
+    """Whether sets with these sketches (one or many against many) may link."""
+    most = np.minimum(x, y).sum(1, dtype=np.int64)
+    full = ((x == 255) & (y == 255)).any(1)
+    return full | (100 * most >= similarity * (nx + ny - most))
+
+
 def needed_overlap(n: np.ndarray | int, similarity: int):
     return -(-similarity * n // 100)
 
@@ -346,26 +358,23 @@ class _Join:
 
         return cut(self.scan(signatures, "sig bigint, node bigint, n bigint, rare bigint, pair boolean", only=only))
 
-    def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link. nodes: (node, doc_id, n, sketch) of one document of each set.
-
-        A bound from the sketches drops most others before whole sets travel.
-        """
+    def bounded(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sketches allow a link. nodes: (node, doc_id, n, sketch) of one document of each set."""
         similarity = self.similarity
 
-        def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n = batch.num_rows
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(n, BUCKETS) for i in (4, 5))
-                nx, ny = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                most = np.minimum(x, y).sum(1, dtype=np.int64)
-                full = ((x == 255) & (y == 255)).any(1)
-                yield batch.select([0, 1]).filter(pa.array(full | (100 * most >= similarity * (nx + ny - most))))
+                yield batch.select([0, 1]).filter(pa.array(sketches_allow(x, y, batch.column(2).to_numpy(), batch.column(3).to_numpy(), similarity)))
 
         side = nodes.select("node", "n", "sketch")
         with_a = pairs.join(side.toDF("a", "na", "sa"), "a")
-        both = with_a.join(side.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
-        pairs = cut(both.mapInArrow(bounded, "a bigint, b bigint"))
+        return with_a.join(side.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(allowed, "a bigint, b bigint")
+
+    def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link, by their whole sets."""
+        similarity = self.similarity
         wanted = cut(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", "doc_id"))
         size = wanted.count()
         if not size:
@@ -396,11 +405,12 @@ class _Join:
         with_b = pairs.join(own.toDF("b", "tb"), "b")
         return with_b.join(own.toDF("a", "ta"), "a").select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint")
 
-    def rest(self, live: DataFrame) -> DataFrame:
+    def rest(self, live: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs (x, y) of different components that share a signature, for what the stars have left open.
 
         Small buckets are joined with themselves. In a large one nearly all are of one component by now; each other member meets
-        that component's members, once whatever the number of signatures, and the other members of its bucket.
+        that component's members, once whatever the number of signatures, and the other members of its bucket, in blocks that
+        hand on only pairs which sizes, rare shingles and sketches allow.
         """
         similarity = self.similarity
         by_comp = live.groupBy("sig", "comp").agg(F.count("*").alias("m"))
@@ -408,14 +418,66 @@ class _Join:
         size = cut(size.select("sig", (F.col("total") <= SMALL_BUCKET).alias("small"), "main"))
         known = live.select("sig", "node", "n", "rare", "pair", "comp").join(size, "sig")
         left = cut(known.where("small OR comp <> main").distinct())
-        one = left.select("sig", "pair", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("rare").alias("rx"), F.col("comp").alias("cx"))
-        two = left.select("sig", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("rare").alias("ry"), F.col("comp").alias("cy"))
+        small = left.where("small")
+        one = small.select("sig", "pair", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("rare").alias("rx"), F.col("comp").alias("cx"))
+        two = small.select("sig", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("rare").alias("ry"), F.col("comp").alias("cy"))
         may = _may_link("nx", "ny", "rx", "ry", "pair", similarity)
         inside = one.join(two, "sig").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & may).select("x", "y")
         large = left.where("not small").select("pair", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("rare").alias("rx"), F.col("main").alias("comp")).distinct()
         mains = live.select("comp", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("rare").alias("ry")).distinct().join(large.select("comp").distinct(), "comp", "left_semi")
         across = large.join(mains, "comp").where(may).select("x", "y")
-        return inside.unionAll(across)
+        return inside.unionAll(across).unionAll(self.blocks(left.where("not small").select("sig", "node", "n", "rare", "pair", "comp"), nodes))
+
+    def blocks(self, members: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Pairs (x, y) of different components in large buckets (sig, node, n, rare, pair, comp) that may link.
+
+        Buckets of the same members are one. Where the buckets overlap so much that all their members compared once are fewer
+        comparisons, bands of sizes take the buckets' place: sets in bands that are not neighbours cannot link. A bucket is
+        dealt into blocks of about BLOCK members, and each pair of blocks is a group of its own.
+        """
+        similarity = self.similarity
+        alike = members.groupBy("sig", "pair").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("d1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("d2"))
+        alike = cut(alike.groupBy("m", "d1", "d2", "pair").agg(F.min("sig").alias("sig")))
+        work = alike.agg(F.sum(F.col("m").cast("double") * F.col("m"))).first()[0]
+        if work is None:
+            return members.select(F.col("node").alias("x"), F.col("node").alias("y")).limit(0)
+        apart = members.select("node", "n", "rare", "comp").distinct()
+        band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / similarity) * (1 + 1e-9))).cast("long") if similarity < 100 else F.col("n")
+        banded = apart.withColumn("band", band)
+        cells = banded.groupBy("band").count().agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0]
+        if work > 3 * cells:
+            # a band meets itself and the one below, where its sets are marked as upper ones
+            rows = banded.select(F.explode(F.array(F.struct(F.col("band").alias("bucket"), F.lit(False).alias("upper")), F.struct((F.col("band") - 1).alias("bucket"), F.lit(True).alias("upper")))).alias("at"), "node", "n", F.lit(0).cast("long").alias("rare"), "comp").select("at.*", "node", "n", "rare", "comp", F.lit(False).alias("pair"))
+        else:
+            rows = members.join(alike.select("sig"), "sig").select(F.col("sig").alias("bucket"), F.lit(False).alias("upper"), "node", "n", "rare", "comp", "pair")
+        rows = cut(rows)
+        dealt = rows.join(rows.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts")), "bucket")
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int")).join(nodes.select("node", "sketch"), "node")
+        sent = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        sent = sent.select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "upper", "node", "n", "rare", "comp", "pair", "sketch")
+
+        def compare(p: pd.DataFrame) -> pd.DataFrame:
+            lo, hi = p["lo"].iloc[0], p["hi"].iloc[0]
+            columns = [p[c].to_numpy() for c in ("node", "n", "rare", "comp", "upper")]
+            sketch = np.frombuffer(b"".join(p["sketch"]), np.uint8).reshape(len(p), BUCKETS)
+            left = np.flatnonzero(p["part"].to_numpy() == lo)
+            right = left if lo == hi else np.flatnonzero(p["part"].to_numpy() == hi)
+            node, n, rare, comp, upper = (c[right] for c in columns)
+            right_sketch, pair = sketch[right], bool(p["pair"].all())
+            found = []
+            for k, i in enumerate(left.tolist()):
+                xn, xs, xr, xc, xu = (c[i] for c in columns)
+                most = np.minimum(xs - xr, n - rare) if pair else np.minimum(xs, n)
+                may = (comp != xc) & (100 * most >= similarity * (xs + n - most)) & ~(upper & xu)
+                if lo == hi:
+                    may[: k + 1] = False
+                at = np.flatnonzero(may)
+                at = at[sketches_allow(sketch[i], right_sketch[at], xs, n[at], similarity)]
+                found.append((np.full(len(at), xn), node[at]))
+            x, y = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            return pd.DataFrame({"x": x, "y": y})
+
+        return sent.groupBy("bucket", "lo", "hi").applyInPandas(compare, "x bigint, y bigint")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """Every document's set, and the component of every node that has one beside itself."""
@@ -441,11 +503,12 @@ class _Join:
             if k < STAR_ROUNDS:
                 pairs = live.where((F.col("comp") != F.col("pc")) & _may_link("n", "pn", "rare", "pr", "pair", similarity)).select(F.col("p").alias("x"), F.col("node").alias("y"))
             else:
-                pairs = self.rest(live)
+                pairs = self.rest(live, nodes)
             pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
             if tried:
                 pairs = pairs.join(reduce(DataFrame.unionAll, tried), ["a", "b"], "left_anti")
-            pairs = cut(pairs)
+            # pairs that sketches rule out are not even written
+            pairs = cut(self.bounded(pairs, nodes))
             tried.append(pairs)
             found = cut(self.verified(pairs, nodes))
             if found.limit(1).count():
@@ -480,14 +543,17 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, shingle: int
 def keep_representatives(docs: DataFrame, similarity: int = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component, that of the smallest id; columns as before. Rows with a NULL id all stay.
 
-    Rows with one id and different texts are told apart by their sets; of rows without words one stays for each id.
+    Rows with one id and different texts are told apart by their sets; of rows without words one stays for each id. Other columns
+    may have any names.
     """
     sets, comp = _Join(docs, similarity, shingle, id_col, text_col).run()
     own = F.when(F.col("n") == 0, F.col("doc_id")).alias("own")
     least = sets.where("doc_id IS NOT NULL").groupBy("node", own).agg(F.min(F.struct("doc_id", "t")).alias("row"))
     best = least.join(comp, "node", "left").groupBy(F.coalesce("comp", "node").alias("comp"), "own").agg(F.min("row").alias("row"))
-    chosen = best.select(F.col("row.doc_id").alias("_first"), F.col("row.t").alias("_text")).distinct()
-    kept = docs.join(chosen, (F.col(id_col).cast("long") == F.col("_first")) & (F.xxhash64(text_col) == F.col("_text")), "left_semi")
-    rank = F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.xxhash64(text_col)))
-    kept = kept.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    chosen = best.select(F.col("row.doc_id").alias("first"), F.col("row.t").alias("hash")).distinct()
+    # whole rows travel as one column, so that their names cannot clash with those made here
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"))
+    kept = rows.join(chosen, (F.col("id") == F.col("first")) & (F.col("t") == F.col("hash")), "left_semi")
+    rank = F.row_number().over(Window.partitionBy("id", "t").orderBy("t"))
+    kept = kept.withColumn("rank", rank).where("rank = 1").select("doc.*")
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

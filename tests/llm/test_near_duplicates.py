@@ -108,8 +108,9 @@ def test_clusters_and_passages(spark):
     check(spark, list(enumerate(docs)))
 
 
-@pytest.mark.parametrize(("bits", "bucket", "stars"), [(2, 2, 1), (2, 1, 2), (64, 32, 2)])
-def test_every_way_gives_the_same(spark, monkeypatch, bits, bucket, stars):
+@pytest.mark.parametrize(("bits", "bucket", "stars", "block"), [(2, 2, 1, 1024), (2, 1, 0, 3), (64, 32, 2, 1024)])
+def test_every_way_gives_the_same(spark, monkeypatch, bits, bucket, stars, block):
+    monkeypatch.setattr(N, "BLOCK", block)
     monkeypatch.setattr(N, "FREQUENT_BITS", bits)
     monkeypatch.setattr(N, "SMALL_BUCKET", bucket)
     monkeypatch.setattr(N, "STAR_ROUNDS", stars)
@@ -121,6 +122,36 @@ def test_every_way_gives_the_same(spark, monkeypatch, bits, bucket, stars):
     check(spark, list(enumerate(docs)))
 
 
+def test_boilerplate_makes_no_candidates(spark, monkeypatch):
+    """Texts of shared paragraphs that do not link: what is handed on for exact comparison grows no faster than the texts."""
+    handed = []
+    verified = N._Join.verified
+
+    def counted(self, pairs, nodes):
+        handed[-1] += pairs.count()
+        return verified(self, pairs, nodes)
+
+    monkeypatch.setattr(N._Join, "verified", counted)
+    r = rng(17)
+    paragraphs = [words(r, 25, 10**6) for _ in range(60)]
+    for n in (120, 240):
+        docs = list(enumerate(" ".join(r.sample(paragraphs, 40)) for _ in range(n)))
+        handed.append(0)
+        assert N.near_duplicates(table(spark, docs)).where("component_id <> doc_id").count() == 0
+    assert handed[0] <= 120 and handed[1] <= 240, handed
+
+
+def test_bands_and_buckets_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(N, "SMALL_BUCKET", 1)
+    monkeypatch.setattr(N, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(N, "BLOCK", 5)
+    r = rng(19)
+    paragraphs = [words(r, 12, 10**6) for _ in range(12)]
+    docs = [" ".join(r.sample(paragraphs, r.randrange(6, 12))) for _ in range(60)]
+    docs += [edited(r, d, r.randrange(3)) for d in docs[:25]]
+    check(spark, list(enumerate(docs)))
+
+
 def test_other_parameters(spark):
     r = rng(13)
     base = words(r, 80, 10**6)
@@ -142,6 +173,13 @@ def test_representatives(spark):
     assert out.columns == table(spark, docs).columns and rows(out, "doc_id") == [(1,), (5,), (6,), (None,), (None,)]
 
 
+def test_representatives_with_clashing_names(spark):
+    names = ["_rank", "_first", "rank", "id", "t", "doc", "row", "comp", "node", "own", "first", "hash"]
+    docs = spark.createDataFrame([(i, "a b c d e", *range(len(names))) for i in (2, 1)], ["doc_id", "text", *names])
+    out = N.keep_representatives(docs)
+    assert out.schema == docs.schema and [tuple(r) for r in out.collect()] == [(1, "a b c d e", *range(len(names)))]
+
+
 def test_representatives_of_repeated_ids(spark):
     a, b, c = "a b c d e", "f g h i j k", "l m n o p q"
     for x, y in ((a, b), (b, a)):
