@@ -4,12 +4,14 @@
    is large in either sense). 2. Quantiles of the sampled keys split the key order into many small ranges. 3. Records are
    assigned to ranges by binary search; a range found to be overfull gets further splitters from a denser sample. 4. Inside
    ranges, running sums give each record its place in the whole order, and equal shares of all bytes are the shards.
-   Records with equal group keys are neighbours and stay in one shard, unless their bytes exceed 1 % of a shard: then a
-   group is split, which is what a group that holds a third of all rows needs.
+   Records with equal group keys are neighbours and stay in one shard if their bytes fit the law's tolerance: 1 % of a shard or
+   one largest record, by which no placement of whole records can do better. A larger group is split, which is what a group
+   that holds a third of all rows needs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,11 +29,16 @@ _ORDER = ["_s_key", "_s_tie", "_s_salt"]
 _LOW = -(1 << 63)
 
 
+def _longs(values: Iterable[int]) -> Column:
+    """An array as one string constant, which the optimiser folds, instead of thousands of expressions in every plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def _range_of(splitters: list[tuple[int, int, int]]) -> Column:
     """Number of splitters at or below a record's key, by binary search over three literal arrays."""
     if not splitters:
         return F.lit(0)
-    keys, ties, salts = (F.array(*map(F.lit, x)).cast("array<bigint>") for x in zip(*splitters, strict=True))
+    keys, ties, salts = map(_longs, zip(*splitters, strict=True))
     k, t, s = (F.col(c) for c in _ORDER)
     n, steps = len(splitters), []
     step = 1 << (n.bit_length() - 1)
@@ -73,13 +80,13 @@ def assign_shards(records: DataFrame, size: Column, group: Column, tie: Column,
     """
     own = records.columns
     base = cut(records.select("*", size.cast("long").alias("_s_size"), group.alias("_s_key"), F.coalesce(tie.cast("long"), F.lit(_LOW)).alias("_s_tie"), F.xxhash64(F.monotonically_increasing_id()).alias("_s_salt")))
-    total = base.agg(F.count("*").alias("n"), F.sum("_s_size").alias("bytes")).first()
+    total = base.agg(F.count("*").alias("n"), F.sum("_s_size").alias("bytes"), F.max("_s_size").alias("largest")).first()
     if not total.n:
         return base.select(*own, F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"))
     ranges = min(MOST_RANGES, max(LEAST_RANGES, -(-total.n // ROWS_A_RANGE)))
     wanted = min(MOST_SAMPLES, SAMPLES_A_RANGE * ranges)
     weight = F.col("_s_size") / F.lit(2.0 * total.bytes) + F.lit(0.5 / total.n)
-    limit = total.bytes // (shards * 100)
+    limit = max(total.bytes // (shards * 100), total.largest)
     splitters = _splitters(_sample(base, weight * wanted, 1), ranges, max(2, round(1.5 * wanted / (shards * 100))))
     for attempt in range(3):
         placed = base.withColumn("_s_range", _range_of(splitters))
@@ -90,6 +97,15 @@ def assign_shards(records: DataFrame, size: Column, group: Column, tie: Column,
         more = _sample(placed.where(F.col("_s_range").isin(full)), weight * wanted * 4, 2 + attempt)
         share = max(2, len(more) // (2 * SAMPLES_A_RANGE))
         splitters = sorted({*splitters, *_splitters(more, share, 2)})
+    # groups that splitters cut are judged by all their bytes; one that fits the tolerance is not cut after all
+    cut_keys = sorted({k for k, t, _ in splitters if t != _LOW})
+    if cut_keys:
+        whole = {r[0] for r in base.where(F.col("_s_key").isin(cut_keys)).groupBy("_s_key").agg(F.sum("_s_size").alias("b")).where(F.col("b") <= limit).collect()}
+        if whole:
+            splitters = sorted({(k, _LOW, _LOW) if k in whole else (k, t, s) for k, t, s in splitters})
+            cut_keys = [k for k in cut_keys if k not in whole]
+            placed = base.withColumn("_s_range", _range_of(splitters))
+            sums = {r[0]: (r.n, r.b) for r in placed.groupBy("_s_range").agg(F.count("*").alias("n"), F.sum("_s_size").alias("b")).collect()}
     first_row, first_byte, n, b = [], [], 0, 0
     for k in range(len(splitters) + 1):
         first_row.append(n)
@@ -97,7 +113,7 @@ def assign_shards(records: DataFrame, size: Column, group: Column, tie: Column,
         n, b = n + sums.get(k, (0, 0))[0], b + sums.get(k, (0, 0))[1]
 
     def at_range(values: list[int]) -> Column:
-        return F.get(F.array(*map(F.lit, values)).cast("array<bigint>"), F.col("_s_range"))
+        return F.get(_longs(values), F.col("_s_range"))
 
     inside = Window.partitionBy("_s_range").orderBy(*_ORDER)
     groups = Window.partitionBy("_s_range", "_s_key")
@@ -107,10 +123,11 @@ def assign_shards(records: DataFrame, size: Column, group: Column, tie: Column,
         .withColumn("_s_group_at", F.min("_s_at").over(groups))
         .withColumn("_s_group", F.sum("_s_size").over(groups))
     )
-    twice = F.when(F.col("_s_group") <= limit, 2 * F.col("_s_group_at") + F.col("_s_group")).otherwise(2 * F.col("_s_at") + F.col("_s_size"))
+    fits = (F.col("_s_group") <= limit) & ~F.col("_s_key").isin(cut_keys) if cut_keys else F.col("_s_group") <= limit
+    twice = F.when(fits, 2 * F.col("_s_group_at") + F.col("_s_group")).otherwise(2 * F.col("_s_at") + F.col("_s_size"))
     placed = cut(placed.select(*own, F.least(F.lit(shards - 1), F.floor(twice * F.lit(shards) / F.lit(2.0 * total.bytes))).cast("int").alias("_s_shard"), "_s_row"))
     begin = {r[0]: r[1] for r in placed.groupBy("_s_shard").agg(F.min("_s_row")).collect()}
-    start = F.get(F.array(*(F.lit(begin.get(k, 0)) for k in range(shards))).cast("array<bigint>"), F.col("_s_shard"))
+    start = F.get(_longs(begin.get(k, 0) for k in range(shards)), F.col("_s_shard"))
     return placed.select(*own, F.col("_s_shard").alias("shard"), (F.col("_s_row") - start).cast("long").alias("slot"))
 
 

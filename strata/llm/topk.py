@@ -4,24 +4,28 @@ Vectors are quantised to integers. A block of rows is stored as bitmaps, one for
 a whole block are added up with bitmap arithmetic: every nonzero signed digit of every query component adds an attribute's
 slices at a weight, and carry-save adders (five bitmap operations for three bitmaps) reduce each weight's bitmaps to one. The
 sum's slices are then walked from the most significant downward to select the best rows; rows that tie at the boundary are
-resolved exactly by id. Blocks are independent; a window over k rows from each block gives the final ranks.
+resolved exactly by id. Blocks are independent and built once; a window over k rows from each block gives the final ranks.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
+import uuid
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, ship_package
+from strata.llm.common import claim, cut, new_shared_path, open_fs, ship_package
 
 K = 5
 SCALE = 256
 BLOCK = 1 << 15
-#: Queries that one pass broadcasts: with 1024 components of 4 bytes at most 16 MB.
+#: Queries in one file: with 1024 components of 8 bytes at most 32 MB.
 QUERY_BLOCK = 4096
 STEP = 50
 
@@ -121,81 +125,113 @@ class BitSlicedBlock:
         return np.concatenate((best, ties[: max(0, k - len(best))]))
 
 
-def _matrix(column: pa.ListArray, dims: int) -> np.ndarray:
-    """Rows of a list column as int64; shorter rows are padded with 0."""
-    sizes = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    if len(sizes) and (sizes == dims).all():
-        return flat.reshape(len(sizes), dims)
-    out = np.zeros((len(sizes), dims), np.int64)
-    at = np.repeat(np.arange(len(sizes)), sizes)
-    out[at, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+def quantised(column: pa.ListArray) -> tuple[list[np.ndarray], int]:
+    """floor(256 x) of each vector, x as double, and the largest size of a component; exact integers of any length beyond 2^62."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    most = float(np.abs(values).max(initial=0.0)) * SCALE
+    if most < 2.0**62:
+        flat = np.floor(values * SCALE).astype(np.int64)
+    else:
+        flat = np.array([math.floor(Fraction(v) * SCALE) for v in values.tolist()], object)
+    return np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else [], max(map(abs, flat.tolist()), default=0) if flat.dtype == object else int(np.abs(flat).max(initial=0))
+
+
+def _matrix(vectors: list[np.ndarray], dims: int) -> np.ndarray:
+    """Vectors as rows; shorter ones are padded with 0."""
+    kind = object if any(v.dtype == object for v in vectors) else np.int64
+    out = np.zeros((len(vectors), dims), kind)
+    for row, v in zip(out, vectors, strict=True):
+        row[: len(v)] = v
     return out
 
 
+def _plain_top(ids: np.ndarray, rows: np.ndarray, x: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the best rows with integers of any length, for components beyond the slices' 64 bits."""
+    scores = [sum(a * b for a, b in zip(v, query, strict=True)) for v in x.astype(object).tolist()]
+    best = sorted((i for i in range(len(ids)) if rows[i] != own), key=lambda i: (-scores[i], i))[:k]
+    return np.array(best, np.int64), np.array([max(-(1 << 63), min((1 << 63) - 1, scores[i])) for i in best], np.int64)
+
+
 def top_k(vectors: DataFrame, k: int = K, step: int = STEP, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by step, its k best other rows.
 
     Components become floor(256 x); the score is their integer inner product, shorter vectors counting as padded with 0; ties
     go to the smaller id. Rows with a NULL id, and vectors that are NULL or hold NULL or non-finite components, take no part.
     Rows are told apart by row, not by id: of repeated rows each is the others' candidate, and repeated query rows give
-    repeated ranks. Other columns are not read. Each pass broadcasts at most query_block queries against all blocks.
+    repeated ranks. Finite components of any size count exactly; among the k best of a block a score beyond 64 bits is given, and
+    compared with other blocks', as the nearest value inside them. Other columns are not read. Executors write the queries
+    in files of at most query_block to the shared folder; a task builds each of its blocks once and takes all files past it.
     """
     spark = vectors.sparkSession
     ship_package(spark)
     x = F.col(vector_col)
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf")))
     usable = vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & ~bad)
-    quantised = F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).cast("int"))
-    table = cut(usable.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), quantised.alias("x")))
+    table = cut(usable.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), x.alias("x")))
     dims = table.agg(F.max(F.size("x"))).first()[0] or 0
-    schema = "query_row bigint, query_id bigint, vec_id bigint, score bigint"
-
-    def one_pass(queries: list[tuple[int, int, list[int]]]) -> DataFrame:
-        q = np.zeros((len(queries), dims), np.int64)
-        for i, r in enumerate(queries):
-            q[i, : len(r[2])] = r[2]
-        sent = spark.sparkContext.broadcast((np.array([r[0] for r in queries], np.int64), np.array([r[1] for r in queries], np.int64), q.astype(np.int32)))
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows, ids, q = sent.value
-            held: list[pa.RecordBatch] = []
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                t = pa.Table.from_batches(held).combine_chunks()
-                held.clear()
-                r, i = t.column("row").to_numpy(), t.column("id").to_numpy()
-                order = np.lexsort((r, i))
-                m = _matrix(t.column("x").combine_chunks() if t.column("x").num_chunks != 1 else t.column("x").chunk(0), dims)[order]
-                index = BitSlicedBlock(i[order], r[order], m)
+    folder = new_shared_path(spark, "queries")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, plain = open_fs(folder)
+        files.create_dir(plain, recursive=True)
+        names = []
+        for batch in batches:
+            for lo in range(0, batch.num_rows, query_block):
+                part = batch.slice(lo, query_block)
+                w, _ = quantised(part.column(2))
+                name = f"{uuid.uuid4().hex}.queries"
+                with files.open_output_stream(f"{plain}/{name}") as out:
+                    out.write(pickle.dumps((part.column(0).to_numpy(), part.column(1).to_numpy(), _matrix(w, dims)), protocol=5))
+                names.append(f"{folder}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["path"])
+
+    few = table.where(F.col("id") % step == 0)
+    spread = max(1, -(-few.count() // query_block))
+    paths = sorted(r[0] for r in few.repartition(spread, "row").mapInArrow(write, "path string").collect())  # a path for each block of queries
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("top k")
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            r, i = t.column("row").to_numpy(), t.column("id").to_numpy()
+            order = np.lexsort((r, i))
+            parts = [quantised(c) for c in t.column("x").chunks]
+            m = _matrix([v for p in parts for v in p[0]], dims)[order]
+            most = max(p[1] for p in parts)
+            index = BitSlicedBlock(i[order], r[order], m) if most < 1 << 61 else None
+            widest = np.abs(m).max(0).astype(np.float64)
+            for path in paths:
+                files, plain = open_fs(path)
+                with files.open_input_stream(plain) as f:
+                    rows, ids, q = pickle.loads(f.read())
                 out = []
-                for own, query_id, w in zip(rows.tolist(), ids.tolist(), q.astype(np.int64), strict=True):
-                    best = index.top_rows(w, own, k)
-                    out.append((np.full(len(best), own), np.full(len(best), query_id), index.ids[best], index.x[best] @ w))
+                for own, query_id, w in zip(rows.tolist(), ids.tolist(), q, strict=True):
+                    if index is not None and w.dtype != object and widest @ np.abs(w) < 2.0**61:
+                        best = index.top_rows(w, own, k)
+                        score = index.x[best] @ w
+                    else:  # sums may leave 64 bits
+                        best, score = _plain_top(i[order], r[order], m, w.tolist(), own, k)
+                    out.append((np.full(len(best), own), np.full(len(best), query_id), i[order][best], score))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["query_row", "query_id", "vec_id", "score"])
 
-            size = 0
-            for batch in batches:
-                if batch.num_rows:
-                    held.append(batch)
-                    size += batch.num_rows
-                if size >= block:
+        size = 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, block - size)
+                held.append(part)
+                at += part.num_rows
+                size += part.num_rows
+                if size == block:
                     yield from flush()
                     size = 0
-            if held:
-                yield from flush()
-
-        return table.mapInArrow(search, schema)
-
-    out = None
-    pending: list = []
-    for r in table.where(F.col("id") % step == 0).orderBy("id", "row").toLocalIterator():
-        pending.append((r.row, r.id, r.x))
-        if len(pending) == query_block:
-            out = one_pass(pending) if out is None else out.unionAll(one_pass(pending))
-            pending = []
-    if pending or out is None:
-        part = one_pass(pending) if pending else spark.createDataFrame([], schema)
-        out = part if out is None else out.unionAll(part)
+        if held:
+            yield from flush()
+
+    found = table.mapInArrow(search, "query_row bigint, query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

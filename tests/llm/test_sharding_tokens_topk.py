@@ -36,6 +36,40 @@ def test_shards(spark):
     assert len(groups[zlib.crc32(hot.encode())]) > 1 and len(groups[zlib.crc32(b"five")]) == 1
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shards_against_a_sorted_list(spark, seed):
+    """The law on the driver: all records in key order, a group or record placed by its middle byte."""
+    r = rng(seed)
+    hot = words(r, 60)
+    texts = [words(r, r.randrange(1, 90)) for _ in range(700)] + [hot] * 500 + ["twice"] * 3 + [None, None, "", "y" * 3000]
+    docs = table(spark, texts)
+    keyed = docs.selectExpr("doc_id", "coalesce(octet_length(text), 0) + 8 AS size", "xxhash64(text) AS k").collect()
+    order = sorted((x.k, x.doc_id, x["size"]) for x in keyed)
+    total = sum(x[2] for x in order)
+    limit = max(total // 2400, max(x[2] for x in order))
+    groups, at = {}, 0
+    for k, _, size in order:
+        first, held = groups.get(k, (at, 0))
+        groups[k] = (first, held + size)
+        at += size
+    want, at, slots = [], 0, Counter()
+    for k, i, size in order:
+        first, held = groups[k]
+        middle = 2 * first + held if held <= limit else 2 * at + size
+        shard = min(23, middle * 24 // (2 * total))
+        want.append((i, shard, slots[shard]))
+        slots[shard] += 1
+        at += size
+    assert rows(shard_documents(docs), "doc_id", "shard", "slot") == sorted(want, key=repr)
+
+
+def test_equal_texts_stay_together_at_every_size(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    split = shard_documents(docs).groupBy("text_crc32").agg({"shard": "max", "doc_id": "count"}).toDF("c", "a", "n")
+    least = shard_documents(docs).groupBy("text_crc32").agg({"shard": "min"}).toDF("c", "b")
+    assert split.join(least, "c").where("a <> b").count() == 0
+
+
 def test_no_rows_and_few_rows(spark):
     docs = table(spark, ["a", "b", "b"])
     assert shard_documents(docs.limit(0)).count() == 0
@@ -147,6 +181,19 @@ def test_top_k(spark, block, query_block):
     assert rows(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("block", [1 << 15, 3])
+def test_large_components_count_exactly(spark, block):
+    vectors = [(0, [1e7, 1.0]), (50, [-3.0, 2.5]), (1, [1e7, -2.0]), (2, [2.0, 1e9]), (3, [-1e7, 0.5]), (4, [1e300, 1.0]), (5, [0.25, 0.5]), (100, [1e15, -1e15])]
+    df = spark.createDataFrame(vectors, "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    whole = {k: [int(np.floor(256 * x)) if abs(x) < 1e200 else int(x) * 256 for x in v] for k, v in vectors}
+    clip = lambda n: max(-(1 << 63), min((1 << 63) - 1, n))
+    want = []
+    for q in (0, 50, 100):
+        s = sorted((-clip(sum(a * b for a, b in zip(whole[q], w, strict=True))), k) for k, w in whole.items() if k != q)[:5]
+        want += [(q, n, k, -x) for n, (x, k) in enumerate(s, 1)]
+    assert rows(top_k(df, block=block, query_block=2), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id BIGINT, embedding ARRAY<FLOAT>")
     assert top_k(df).count() == 0
