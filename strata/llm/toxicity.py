@@ -31,27 +31,55 @@ _KNOWN = 200_000
 
 #: Words that report another's speech.
 REPORTING = frozenset("said says wrote called quoted quote reported dijo dice escribió llamó dit écrit appelé sagte schrieb nannte".split())
-QUOTES = "\"“”„«»‹›"
-_QUOTED = re.compile(f"[{QUOTES}]([^{QUOTES}\n]{{1,200}})[{QUOTES}]")
+QUOTES = {'"': 0, "“": 1, "”": 1, "„": 1, "«": 2, "»": 2, "‹": 3, "›": 3}
+_MARKS = re.compile(f"[{''.join(QUOTES)}]|\n\\s*\n")
 _SPAN = 6
+_STEPS = 50_000
+
+
+def quoted_spans(text: str) -> list[tuple[int, int]]:
+    """What stands between quotation marks, of any length and over lines.
+
+    A mark opens a quotation, the next of its family closes it; other families' marks inside are part of it. As straight marks do
+    not tell opening from closing, an odd one is forgotten at the end of its paragraph.
+    """
+    spans, family, begin = [], None, 0
+    for m in _MARKS.finditer(text):
+        kind = QUOTES.get(m.group())
+        if kind is None:
+            family = None if family == 0 else family
+        elif family is None:
+            family, begin = kind, m.end()
+        elif family == kind:
+            spans.append((begin, m.start()))
+            family = None
+    return spans
+
+
+def _unquoted(text: str) -> str:
+    spans = quoted_spans(text)
+    inner = [0, *(x for span in spans for x in span), len(text)]
+    return " ".join(text[a:b] for a, b in zip(inner[::2], inner[1::2], strict=True)) if spans else text
 
 
 @dataclass
 class Lexicon:
-    """Terms with weights. A term that ends in * is a word beginning. Long whole words are also found with edits."""
+    """Terms with weights. A term that ends in * is a word beginning. Long terms are also found with edits, but for exact ones."""
 
     terms: dict[str, float]
+    exact: frozenset[str] = frozenset()
     decay: float = 0.6
     _children: list[dict[str, int]] = field(default_factory=lambda: [{}], repr=False)
     _final: dict[int, str] = field(default_factory=dict, repr=False)
     _stem: dict[int, str] = field(default_factory=dict, repr=False)
     _reach: list[int] = field(default_factory=lambda: [0], repr=False)
     _steps: dict = field(default_factory=dict, repr=False)
+    _begun: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         for term in self.terms:
             at, word = 0, term.rstrip("*")
-            allowed = 0 if term.endswith("*") else self.edits(word)
+            allowed = self.allowed(term)
             self._reach[0] = max(self._reach[0], allowed)
             for c in word:
                 if c not in self._children[at]:
@@ -67,6 +95,9 @@ class Lexicon:
     def edits(word: str) -> int:
         return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
 
+    def allowed(self, term: str) -> int:
+        return 0 if term in self.exact else self.edits(term.rstrip("*"))
+
     def _close(self, states: dict[int, int]) -> frozenset:
         """States (trie node, edits) with all deletions: trie letters that the word lacks."""
         todo, best = list(states.items()), dict(states)
@@ -90,30 +121,30 @@ class Lexicon:
                     if cost <= self._reach[to] and cost < best.get(to, 9) or cost == 0:
                         best[to] = min(cost, best.get(to, 9))
             got = self._close(best)
-            if len(self._steps) < 500_000:
-                self._steps[state, c] = got
+            if len(self._steps) >= _STEPS:
+                self._steps.clear()
+                self._begun.clear()
+            self._steps[state, c] = got
         return got
 
+    def _best(self, state: frozenset, ends: dict[int, str]) -> tuple[str, float] | None:
+        """The best of the terms that end in a state."""
+        found = [(ends[node], self.terms[ends[node]] * self.decay**k) for node, k in state if node in ends and k <= self.allowed(ends[node])]
+        return max(found, key=lambda x: x[1], default=None)
+
     def find(self, word: str) -> tuple[str, float] | None:
         """The term that a word matches, with the term's weight times decay for each edit; the best if several do."""
-        state, best = self._start, None
+        state, found = self._start, []
         for c in word:
             state = self._step(state, c)
             if not state:
                 break
-            for node, k in state:
-                if k == 0 and node in self._stem:
-                    term = self._stem[node]
-                    if best is None or self.terms[term] > best[1]:
-                        best = (term, self.terms[term])
+            if state not in self._begun:
+                self._begun[state] = self._best(state, self._stem)
+            found.append(self._begun[state])
         else:
-            for node, k in state:
-                term = self._final.get(node)
-                if term is not None and k <= self.edits(term) and (k == 0 or word[0] == term[0] or word[-1] == term[-1]):
-                    w = self.terms[term] * self.decay**k
-                    if best is None or w > best[1]:
-                        best = (term, w)
-        return best
+            found.append(self._best(state, self._final))
+        return max(filter(None, found), key=lambda x: x[1], default=None)
 
 
 class Scorer:
@@ -145,7 +176,8 @@ class Scorer:
         n = len(words)
         if not bad:
             return (0.0,) * len(self.NAMES)
-        quoted_spans = [m.span(1) for m in _QUOTED.finditer(lowered)]
+        spans = quoted_spans(lowered)
+        at_span = 0
         direct = quoted = 0.0
         terms: Counter = Counter()
         k = 0
@@ -155,7 +187,9 @@ class Scorer:
                 term, weight = self.hits[w]
                 at = m.start()
                 said = any(x in REPORTING for x in words[max(0, k - _SPAN) : k])
-                inside = any(a <= at < b for a, b in quoted_spans)
+                while at_span < len(spans) and spans[at_span][1] <= at:
+                    at_span += 1
+                inside = at_span < len(spans) and spans[at_span][0] <= at
                 if said or inside:
                     quoted += weight
                 else:
@@ -171,41 +205,59 @@ def _kind(words: list[str]) -> int:
     return min(int.from_bytes(hashlib.blake2b(" ".join(words[k : k + 3]).encode(), digest_size=8).digest(), "little", signed=True) for k in range(max(1, len(words) - 2)))
 
 
-def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, least_kinds: int = 5) -> Lexicon:
-    """Words and word beginnings whose rate among words of toxic texts is far above that in others. sample: (text, label).
+def fold_of_text(words: list[str]) -> int:
+    """0 or 1; copies and most near copies are in one fold."""
+    return _kind(words) & 1
+
+
+def count_forms(sample: DataFrame) -> DataFrame:
+    """form, fold, d0, d1 (texts), u0, u1 (uses), kinds of each word and word beginning of a sample (text, label); totals under the empty form.
 
-    A term must stand in toxic texts of at least least_kinds kinds, and 0.5 % of all kinds; exact copies of a text are of one kind, near copies mostly.
+    Quotations do not count on either side: there a term marks what is spoken of.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: tuple[Counter, Counter] = (Counter(), Counter())
-        kinds: defaultdict[str, set[int]] = defaultdict(set)
+        kinds: defaultdict[tuple[str, int], set[int]] = defaultdict(set)
         uses: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in slices(batches, "text"):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                run = WORD.findall(text.lower())
+                run = WORD.findall(_unquoted(text.lower()))
                 words = Counter(run)
-                total = len(run)
+                fold = fold_of_text(run)
                 forms: Counter = Counter()
                 for w, n in words.items():
                     if len(w) >= 3:
-                        forms[w] += n
+                        forms[w, fold] += n
                         for k in range(4, min(len(w), 10)):
-                            forms[w[:k] + "*"] += n
+                            forms[w[:k] + "*", fold] += n
                 uses[label].update({form: min(n, 3) for form, n in forms.items()})  # one text says no more with more repeats
                 docs[label].update(forms.keys())
                 if label and words:
                     kind = _kind(run)
-                    for form in [*forms, ""]:
+                    for form in [*forms, ("", fold)]:
                         kinds[form].add(kind)
-                docs[label][""] += 1
-                uses[label][""] += total
+                docs[label]["", fold] += 1
+                uses[label]["", fold] += len(run)
         keys = sorted(docs[0].keys() | docs[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (docs[0], docs[1], uses[0], uses[1])), pa.array([sorted(kinds.get(k, ())) for k in keys], pa.list_(pa.int64()))], names=["form", "d0", "d1", "u0", "u1", "kinds"])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (docs[0], docs[1], uses[0], uses[1])), pa.array([sorted(kinds.get(k, ())) for k in keys], pa.list_(pa.int64()))], names=["form", "fold", "d0", "d1", "u0", "u1", "kinds"])
+
+    counts = sample.mapInArrow(count, "form string, fold int, d0 bigint, d1 bigint, u0 bigint, u1 bigint, kinds array<bigint>")
+    sums = counts.groupBy("form", "fold").agg(*(F.sum(c).alias(c) for c in ("d0", "d1", "u0", "u1")), F.size(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("k1"))
+    return cut(sums.where((F.col("k1") > 1) | (F.col("form") == "")))
+
 
-    counts = sample.mapInArrow(count, "form string, d0 bigint, d1 bigint, u0 bigint, u1 bigint, kinds array<bigint>")
-    sums = counts.groupBy("form").agg(*(F.sum(c).alias(c) for c in ("d0", "d1", "u0", "u1")), F.size(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("k1"))
-    often = cut(sums.where((F.col("k1") >= least_kinds) | (F.col("form") == "")))
+def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, least_kinds: int = 5, counts: DataFrame | None = None, fold: int | None = None) -> Lexicon:
+    """Words and word beginnings whose rate among words of toxic texts is far above that in others. sample: (text, label).
+
+    A term must stand in toxic texts of at least least_kinds kinds, and 0.5 % of all kinds; exact copies of a text are of one kind,
+    near copies mostly. Terms whose share of toxic texts may be chance, at one in a million for all forms that were tried, are found
+    without edits only: among them are fragments that mark a language or a family of copies. counts: count_forms(sample), if it is
+    at hand; fold: learn from that fold alone. A form that only one kind of toxic texts of a fold has does not count there.
+    """
+    counts = count_forms(sample) if counts is None else counts
+    sums = counts.where(F.lit(True) if fold is None else F.col("fold") == fold).groupBy("form").agg(*(F.sum(c).alias(c) for c in ("d0", "d1", "u0", "u1", "k1")))
+    often = sums.where((F.col("k1") >= least_kinds) | (F.col("form") == "")).persist()
     total = often.where("form = ''").first() or {"d0": 0, "d1": 0, "u0": 0, "u1": 0, "k1": 0}
     rate = lambda c, most: (F.col(c) + 0.5) / F.lit(total[most] + 1.0)
     rows = (
@@ -237,7 +289,17 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, least_kinds: in
         terms[form] = min(2.0, math.log(r.ratio) / 3)
         if len(terms) >= max_terms:
             break
-    return Lexicon(terms)
+    share = total["k1"] / max(1, total["k1"] + total["d0"])
+    tried = max(1, often.count())
+    often.unpersist()
+    return Lexicon(terms, frozenset(t for t in terms if _chance(stats[t].k1, stats[t].d0, share) * tried > 1e-6))
+
+
+def _chance(bad: int, clean: int, share: float) -> float:
+    """How probable it is that of bad + clean texts at least bad are toxic, if a form tells nothing and a share of all are."""
+    n, p = bad + clean, min(max(share, 1e-9), 1 - 1e-9)
+    log = lambda j: math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log(1 - p)
+    return min(1.0, sum(math.exp(log(j)) for j in range(bad, n + 1)))
 
 
 @dataclass
@@ -255,12 +317,15 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, max_rows: int = MAX
     """Learn the lexicon and the weights from at most max_rows labelled rows outside the held-out fold."""
     ship_package(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, max_rows, id_col, text_col).select("text", "label")
-    lexicon = learn_lexicon(sample)
+    counts = count_forms(sample)
+    lexicon = learn_lexicon(sample, counts=counts)
+    # weights are fitted on texts that their lexicon has not seen, so that chance terms earn no weight
+    others = [learn_lexicon(sample, counts=counts, fold=1 - k) for k in (0, 1)]
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, x, y = Scorer(lexicon), [], []
+        scorers, x, y = [Scorer(o) for o in others], [], []
         for batch in slices(batches, "text"):
-            x += [scorer.features(t) for t in batch.column(0).to_pylist()]
+            x += [scorers[fold_of_text(WORD.findall(_unquoted(t.lower())))].features(t) for t in batch.column(0).to_pylist()]
             y += batch.column(1).to_pylist()
         w = fit_logistic(np.array(x, float).reshape(len(y), len(Scorer.NAMES)), np.array(y, float))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(w)], pa.binary())], names=["w"])

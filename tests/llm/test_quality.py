@@ -1,10 +1,11 @@
 import itertools
+import time
 
 import numpy as np
 import pyarrow as pa
 
 from strata.llm.common import bytes_of
-from strata.llm.quality import NAMES, fit_crf, forward_backward, line_features, score_quality, train_quality_model
+from strata.llm.quality import NAMES, crf_loss, fit_crf, forward_backward, line_features, score_quality, train_quality_model
 from tests.llm.helpers import held_out, rng, table, words
 
 
@@ -55,6 +56,45 @@ def test_crf_learns_neighbours():
     assert w[1] > 0 and t[0, 0] > t[0, 1] and t[1, 1] > t[1, 0]
 
 
+def test_gradient_is_that_of_the_objective():
+    r = np.random.default_rng(4)
+    sizes = [1, 7, 3, 150]
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    f, y = r.normal(size=(first[-1], 4)), r.integers(0, 2, first[-1])
+    w, t = r.normal(size=4), r.normal(size=(2, 2))
+    _, g = crf_loss(w, t, f, first, y, 0.3, 0.7)
+    for k in range(8):
+        step = np.zeros(8)
+        step[k] = 1e-6
+        up, down = (crf_loss(w + s * step[:4], t + s * step[4:].reshape(2, 2), f, first, y, 0.3, 0.7)[0] for s in (1, -1))
+        assert abs((up - down) / 2e-6 - g[k]) < 1e-6
+
+
+def test_long_chains_equal_plain_recursion_and_take_seconds():
+    r = np.random.default_rng(6)
+    sizes = [1, 50_000, 3, 64, 65, 128]
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    e, t = 3 * r.normal(size=(first[-1], 2)), r.normal(size=(2, 2))
+    begun = time.monotonic()
+    p, _, z = forward_backward(e, t, first)
+    assert time.monotonic() - begun < 5
+    for c in range(len(sizes)):
+        own = e[first[c] : first[c + 1]]
+        a = own.copy()
+        for k in range(1, len(own)):
+            a[k] += np.logaddexp(a[k - 1, 0] + t[0], a[k - 1, 1] + t[1])
+        assert np.isclose(np.logaddexp(*a[-1]), z[c])
+        last = np.exp(a[-1] - np.logaddexp(*a[-1]))
+        assert np.allclose(p[first[c + 1] - 1], last)
+
+
+def test_fitting_on_a_long_text_is_bounded_in_time():
+    x = np.random.default_rng(0).random((50_000, len(NAMES)))
+    begun = time.monotonic()
+    fit_crf(x, np.array([0, 25_000, 50_000]), np.repeat([0, 1], 25_000), rounds=20)
+    assert time.monotonic() - begun < 30
+
+
 def corpus(spark):
     r = rng(8)
     texts, labels = [], []
@@ -76,6 +116,9 @@ def test_held_out(spark):
     assert len(got) == len(texts) + len(extra) and all(r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1 and r.held_out == held_out(r.doc_id) for r in got)
     assert all(r.predicted == want[r.doc_id] for r in got if r.doc_id is not None and r.doc_id < 240)
     by = {r.doc_id: r for r in got}
+    assert by[702].good_lines + by[702].bad_lines == 18_000 and by[700].good_lines + by[700].bad_lines == 1
+    few = train_quality_model(docs, labels, max_lines=300)
+    assert np.isfinite(few.weights).all() and few.weights.any()
     assert by[702].predicted == 1 and by[None].predicted == 1 and by[700].score == by[701].score
 
 

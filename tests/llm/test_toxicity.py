@@ -15,17 +15,17 @@ def distance(a, b):
 
 
 def test_automaton_finds_what_brute_force_finds():
-    lexicon = Lexicon({"stupid": 1.0, "worthless": 2.0, "scum": 1.5, "vile*": 0.5})
+    lexicon = Lexicon({"stupid": 1.0, "worthless": 2.0, "scum": 1.5, "vile*": 0.5, "abject*": 0.5})
     r = rng(3)
     for _ in range(4000):
-        base = r.choice(["stupid", "worthless", "scum", "vileness", "vile"])
+        base = r.choice(["stupid", "worthless", "scum", "vileness", "vile", "abjection"])
         w = list(base)
         for _ in range(r.randrange(4)):
             k = r.randrange(len(w) + 1)
             w[k : k + r.randrange(2)] = r.choice(["", "x", "s"])
         w = "".join(w)
-        options = [lexicon.terms[t] * 0.6 ** distance(w, t) for t in ("stupid", "worthless", "scum") if w and distance(w, t) <= Lexicon.edits(t) and (w == t or w[0] == t[0] or w[-1] == t[-1])]
-        options += [0.5] * w.startswith("vile")
+        options = [lexicon.terms[t] * 0.6 ** distance(w, t) for t in ("stupid", "worthless", "scum") if w and distance(w, t) <= Lexicon.edits(t)]
+        options += [0.5 * 0.6 ** distance(w[:k], t) for t in ("vile", "abject") for k in range(1, len(w) + 1) if distance(w[:k], t) <= Lexicon.edits(t)]
         got = lexicon.find(w)
         assert (got is None) == (not options) and (got is None or got[1] == pytest.approx(max(options))), w
 
@@ -39,6 +39,62 @@ def test_context():
     assert set(none) == {0.0} and scorer.features("y0u idi0t")[direct] > 0
 
 
+def test_quotations_of_any_length_and_over_lines():
+    scorer = Scorer(Lexicon({"idiot": 1.0}))
+    direct, quoted = scorer.NAMES.index("direct"), scorer.NAMES.index("quoted")
+    long = "word " * 400
+    for text in (f'" {long} idiot {long} "', f"« {long}\n\nidiot »", "„so\nidiot“", "“an ‹odd› \"idiot” x", 'one " mark\n\nthen "idiot" said'):
+        f = scorer.features(text)
+        assert f[direct] == 0 and f[quoted] > 0, text
+    for text in ('"a" idiot "b"', '5" wide\n\nidiot "', "idiot", "„a“ idiot"):
+        f = scorer.features(text)
+        assert f[direct] > 0 and f[quoted] == 0, text
+
+
+def planted(spark):
+    """Toxic texts use four insults; as many clean texts quote them. Held-out toxic texts have them misspelt only."""
+    r = rng(31)
+    bad = ["imbecile", "worthless", "disgusting", "pathetic"]
+    texts, toxic, kind = [], [], []
+    for k in range(400):
+        t = words(r, 50).split()
+        mode = ("toxic", "quote", "clean", "clean")[k % 4]
+        for _ in range(4 if mode != "clean" else 0):
+            w = r.choice(bad)
+            if mode == "toxic" and held_out(k):
+                j = r.randrange(1, len(w) - 1)
+                w = w[:j] + r.choice(["", "x", w[j] * 2]) + w[j + 1 :]
+            t.insert(r.randrange(1, len(t)), w if mode == "toxic" else f'"a {w} thing"')
+        texts.append(" ".join(t))
+        toxic.append(int(mode == "toxic"))
+        kind.append(mode)
+    labels = spark.createDataFrame([(k, 1, x) for k, x in enumerate(toxic)], "doc_id BIGINT, quality INT, toxic INT")
+    return table(spark, texts), labels, kind
+
+
+@pytest.mark.parametrize("off", ["", "edits", "context"])
+def test_edits_and_context_decide(spark, monkeypatch, off):
+    from strata.llm import toxicity as T
+
+    docs, labels, kind = planted(spark)
+    model = train_toxicity_model(docs, labels)
+    own = docs.collect()
+    if off == "edits":
+        monkeypatch.setattr(Lexicon, "edits", staticmethod(lambda word: 0))
+        model.lexicon = Lexicon(model.lexicon.terms)
+    if off == "context":
+        monkeypatch.setattr(T, "quoted_spans", lambda text: [])
+    p = T._scores(model, Scorer(model.lexicon), [r.text for r in own])
+    caught = np.mean([p[i] >= 0.3 for i, r in enumerate(own) if held_out(r.doc_id) and kind[r.doc_id] == "toxic"])
+    blamed = np.mean([p[i] >= 0.3 for i, r in enumerate(own) if held_out(r.doc_id) and kind[r.doc_id] == "quote"])
+    if off == "edits":
+        assert caught < 0.1 and blamed < 0.1
+    elif off == "context":
+        assert caught > 0.9 and blamed > 0.9
+    else:
+        assert caught > 0.9 and blamed < 0.1
+
+
 def corpus(spark):
     r = rng(5)
     bad = ["idiot", "worthless", "moron", "pathetic"]
