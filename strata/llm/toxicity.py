@@ -150,7 +150,7 @@ class Lexicon:
 class Scorer:
     """Features of texts; remembers which words hit."""
 
-    NAMES = ("direct", "density", "quoted", "distinct", "repeated", "any")  # no length: long texts are not worse
+    NAMES = ("direct", "density", "quoted", "distinct", "repeated", "strongest")  # no length: long texts are not worse
 
     def __init__(self, lexicon: Lexicon) -> None:
         claim("toxicity")
@@ -196,8 +196,10 @@ class Scorer:
                     direct += weight
                     terms[term] += 1
             k += 1
-        most = max(terms.values(), default=0)
-        return (math.log1p(direct), math.log1p(100 * direct / max(n, 1)), math.log1p(quoted), math.log1p(len(terms)), math.log1p(most), float(direct > 0))
+        known = self.lexicon.terms
+        strongest = max((known[t] for t in terms), default=0.0)
+        most = max((n * known[t] for t, n in terms.items()), default=0.0)
+        return (math.log1p(direct), math.log1p(100 * direct / max(n, 1)), math.log1p(quoted), math.log1p(sum(known[t] for t in terms)), math.log1p(most), strongest)
 
 
 def _kind(words: list[str]) -> int:
@@ -252,7 +254,8 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, least_kinds: in
 
     A term must stand in toxic texts of at least least_kinds kinds, and 0.5 % of all kinds; exact copies of a text are of one kind,
     near copies mostly. Terms whose share of toxic texts may be chance, at one in a million for all forms that were tried, are found
-    without edits only: among them are fragments that mark a language or a family of copies. counts: count_forms(sample), if it is
+    without edits only: among them are fragments that mark a language or a family of copies. So are beginnings, whose edits blame
+    many clean texts. counts: count_forms(sample), if it is
     at hand; fold: learn from that fold alone. A form that only one kind of toxic texts of a fold has does not count there.
     """
     counts = count_forms(sample) if counts is None else counts
@@ -283,16 +286,23 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, least_kinds: in
         word = form.rstrip("*")
         if form in covered or any(word[:k] + "*" in terms for k in range(4, len(word) + 1)):
             continue
-        if form.endswith("*"):
-            for other in [t for t in terms if t.startswith(word)]:
-                del terms[other]
-        terms[form] = min(2.0, math.log(r.ratio) / 3)
+        weight = _surely(r.k1, total["k1"], r.d0, total["d0"]) / 3
+        if weight > 0:
+            if form.endswith("*"):
+                for other in [t for t in terms if t.startswith(word)]:
+                    del terms[other]
+            terms[form] = min(2.0, weight)
         if len(terms) >= max_terms:
             break
     share = total["k1"] / max(1, total["k1"] + total["d0"])
     tried = max(1, often.count())
     often.unpersist()
-    return Lexicon(terms, frozenset(t for t in terms if _chance(stats[t].k1, stats[t].d0, share) * tried > 1e-6))
+    return Lexicon(terms, frozenset(t for t in terms if t.endswith("*") or _chance(stats[t].k1, stats[t].d0, share) * tried > 1e-6))
+
+
+def _surely(bad: int, all_bad: int, clean: int, all_clean: int) -> float:
+    """Log ratio of a form's shares of toxic and of clean texts, less two standard errors: few texts make little evidence."""
+    return math.log((bad + 0.5) / (all_bad + 1) * (all_clean + 1) / (clean + 0.5)) - 2 * math.sqrt(1 / bad + 1 / (clean + 0.5))
 
 
 def _chance(bad: int, clean: int, share: float) -> float:
