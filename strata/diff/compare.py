@@ -81,6 +81,11 @@ def compare_dataframes(left_df: DataFrame, right_df: DataFrame, join_cols: list[
     for c in join_cols:
         if get_granularity(c) not in levels:
             levels.append(get_granularity(c))
+    kept: list[DataFrame] = []
+    if len(levels) > 1:
+        # every level reads both inputs, for its guard and for its results
+        left_df, right_df = left_df.persist(), right_df.persist()
+        kept = [left_df, right_df]
     shards: dict[str, DataFrame] = {}
     own_columns: dict[str, list[str]] = {}
     for level in levels:
@@ -96,4 +101,4 @@ def compare_dataframes(left_df: DataFrame, right_df: DataFrame, join_cols: list[
         sides = [s.select(*(F.col(quote(n)) for n in [*keep, *(n for n in ordered if n in s.columns)])) for s in sides]
         shards[level] = join_sides(*sides, keys)
         own_columns[level] = ordered
-    return DiffResult(schema_diff, shards, join_cols, own_columns)
+    return DiffResult(schema_diff, shards, join_cols, own_columns, kept=kept)

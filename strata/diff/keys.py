@@ -67,8 +67,11 @@ def infer_join_column(left_df: DataFrame, right_df: DataFrame) -> str:
 
 
 def guard(left_df: DataFrame, right_df: DataFrame, join_cols: Sequence[str]) -> None:
-    """Refuse a join that would at least double the rows, and warn of one that grows."""
-    growth = (self_join_growth(left_df, join_cols) + self_join_growth(right_df, join_cols)) / 2
+    """Refuse a join that would at least double the rows, and warn of one that grows. Both sides are counted in one job."""
+    keys = [F.col(quote(c)) for c in join_cols]
+    sides = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("side"), "n") for k, df in enumerate((left_df, right_df))]
+    found = {r["side"]: r for r in sides[0].unionAll(sides[1]).groupBy("side").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("rows")).collect()}
+    growth = sum(round(found[k]["pairs"] / found[k]["rows"], 2) if k in found else 1.0 for k in (0, 1)) / 2
     if growth >= MOST_GROWTH:
         raise CombinatorialExplosionError(
             f"Performing a join with the columns {list(join_cols)} would increase the size of the table by a factor of {growth:.2f} and fail to identify rows. Please provide join_cols that are truly unique for both DataFrames."

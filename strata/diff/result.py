@@ -25,13 +25,13 @@ def as_text(column: Column, t: T.DataType) -> Column:
 class DiffResult:
     """diff_df_shards: by granularity, the joined rows. Nothing runs before a result is asked for; each is computed once."""
 
-    def __init__(self, schema_diff_result: SchemaDiffResult, diff_df_shards: dict[str, DataFrame], join_cols: list[str], own_columns: dict[str, list[str]] | None = None, diff_format_options: DiffFormatOptions | None = None) -> None:
+    def __init__(self, schema_diff_result: SchemaDiffResult, diff_df_shards: dict[str, DataFrame], join_cols: list[str], own_columns: dict[str, list[str]] | None = None, diff_format_options: DiffFormatOptions | None = None, kept: list[DataFrame] | None = None) -> None:
         self.schema_diff_result = schema_diff_result
         self.diff_df_shards = diff_df_shards
         self.join_cols = list(join_cols)
         self.diff_format_options = diff_format_options or DiffFormatOptions()
         self._own = own_columns or {k: [c for c in df.columns if c not in (EXISTS, IS_EQUAL, SAMPLE_ID)] for k, df in diff_df_shards.items()}
-        self._kept: list[DataFrame] = []
+        self._kept: list[DataFrame] = list(kept or [])
         self._per_column: dict[int, DataFrame] = {}
 
     def _keep(self, df: DataFrame) -> DataFrame:
@@ -49,13 +49,12 @@ class DiffResult:
 
     @cached_property
     def diff_stats_shards(self) -> dict[str, DiffStats]:
-        return {level: self._stats(df) for level, df in self.diff_df_shards.items()}
-
-    @staticmethod
-    def _stats(df: DataFrame) -> DiffStats:
+        """By level; one job for all of them."""
         left, right, equal = F.col(f"{EXISTS}.left_value"), F.col(f"{EXISTS}.right_value"), F.col(IS_EQUAL)
-        row = df.agg(F.count(F.lit(1)), F.count_if(left & right & equal), F.count_if(left & right & ~equal), F.count_if(left), F.count_if(right), F.count_if(left & ~right), F.count_if(~left & right)).first()
-        return DiffStats(*row)
+        counts = (F.count(F.lit(1)), F.count_if(left & right & equal), F.count_if(left & right & ~equal), F.count_if(left), F.count_if(right), F.count_if(left & ~right), F.count_if(~left & right))
+        parts = [df.agg(F.lit(level).alias("level"), *counts) for level, df in self.diff_df_shards.items()]
+        found = {row[0]: DiffStats(*row[1:]) for row in reduce(DataFrame.unionAll, parts).collect()}
+        return {level: found[level] for level in self.diff_df_shards}
 
     @property
     def same_schema(self) -> bool:

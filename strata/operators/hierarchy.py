@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.errors import IllegalArgumentException
 from strata.plans.paths import quote
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder of the session (one of its own only where none is set)."""
-    sc = df.sparkSession.sparkContext
+    """Reliable checkpoint in the folder that all executors share; one of its own only where all of them live in this process."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strata-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise IllegalArgumentException("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="strata-"))
     return df.checkpoint(eager=True)
 
 

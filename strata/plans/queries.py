@@ -5,17 +5,25 @@ A query takes (spark, sf_dir). Nested inputs are derived: the lines of each orde
 
 from __future__ import annotations
 
+import contextlib
+import functools
+import io
+import tempfile
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata import functions as SF
-from strata import graph, nested, schema_utils
+from strata import data_type_utils, filesystem, graph, nested, schema_utils, utils
 from strata import nested_functions as nf
 from strata import transformations as tr
-from strata.data_diff import DiffResult, compare_dataframes
+from strata.data_diff import DiffFormatOptions, DiffResult, compare_dataframes
+from strata.diff.keys import growth_by_column, self_join_growth
+from strata.streaming.stateless import run_available, transform_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -281,10 +289,10 @@ WITH l AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s, o_orderpr
 r AS (SELECT k, CASE WHEN k % 5 = 0 THEN c + 1 ELSE c END AS c, CASE WHEN k % 3 = 0 THEN 'X' ELSE s END AS s, p FROM l WHERE k % 11 <> 0
       UNION ALL SELECT -k, c, s, p FROM l WHERE k % 13 = 0),
 j AS (SELECT l.k AS lk, r.k AS rk, l.c AS lc, r.c AS rc, l.s AS ls, r.s AS rs, l.p AS lp, r.p AS rp FROM l FULL JOIN r ON l.k = r.k),
-m AS (SELECT 'o_orderkey' AS column_name, lk IS NOT NULL AS le, rk IS NOT NULL AS re, CAST(lk AS VARCHAR) AS lv, CAST(rk AS VARCHAR) AS rv FROM j
-      UNION ALL SELECT 'o_custkey', lk IS NOT NULL, rk IS NOT NULL, CAST(lc AS VARCHAR), CAST(rc AS VARCHAR) FROM j
-      UNION ALL SELECT 'o_orderstatus', lk IS NOT NULL, rk IS NOT NULL, ls, rs FROM j UNION ALL SELECT 'o_orderpriority', lk IS NOT NULL, rk IS NOT NULL, lp, rp FROM j),
-v AS (SELECT column_name, CASE WHEN le AND re AND lv IS NOT DISTINCT FROM rv THEN 'no_change' WHEN le AND re THEN 'changed' WHEN le THEN 'only_in_left' ELSE 'only_in_right' END AS state, lv, rv FROM m)
+m AS (SELECT 'o_orderkey' AS column_name, lk IS NOT NULL AS le, rk IS NOT NULL AS re, CAST(lk AS VARCHAR) AS lv, CAST(rk AS VARCHAR) AS rv, coalesce(lk, rk) AS k FROM j
+      UNION ALL SELECT 'o_custkey', lk IS NOT NULL, rk IS NOT NULL, CAST(lc AS VARCHAR), CAST(rc AS VARCHAR), coalesce(lk, rk) FROM j
+      UNION ALL SELECT 'o_orderstatus', lk IS NOT NULL, rk IS NOT NULL, ls, rs, coalesce(lk, rk) FROM j UNION ALL SELECT 'o_orderpriority', lk IS NOT NULL, rk IS NOT NULL, lp, rp, coalesce(lk, rk) FROM j),
+v AS (SELECT column_name, CASE WHEN le AND re AND lv IS NOT DISTINCT FROM rv THEN 'no_change' WHEN le AND re THEN 'changed' WHEN le THEN 'only_in_left' ELSE 'only_in_right' END AS state, lv, rv, k FROM m)
 """
 
 
@@ -337,7 +345,9 @@ UNION ALL SELECT 'lines!', count(*), count(*) FILTER (same), count(*) FILTER (NO
 
 @query(_NESTED_DIFF)
 def diff_nested(spark, d):
-    stats = _nested_diff(spark, d).diff_stats_shards
+    result = _nested_diff(spark, d)
+    stats = result.diff_stats_shards
+    result.unpersist()
     rows = [(k or "root", s.total, s.no_change, s.changed, s.only_in_left) for k, s in stats.items()]
     return spark.createDataFrame(rows, "level string, total bigint, no_change bigint, changed bigint, only_in_left bigint")
 
@@ -368,6 +378,222 @@ def schema_text(spark, d):
     return spark.createDataFrame([(schema_utils.schema_to_simple_string(schema), back, pretty)], "simple string, json boolean, pretty boolean")
 
 
+# --- what has no columns of its own: reports, guards, files, streams, helpers ---
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder where the session keeps shared intermediate files; a temporary one only in one-process sessions."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='strata-')}"
+    return f"{root.rstrip('/')}/query-{uuid.uuid4().hex}"
+
+
+def _printed(f: Callable[[], object]) -> str:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        f()
+    return out.getvalue()
+
+
+def _lines(spark: SparkSession, text: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(text.splitlines())), "pos int, line string")
+
+
+def _lines_sql(lines: list[str]) -> str:
+    rows = ", ".join(f"({k}, '{x}')" for k, x in enumerate(x.replace("'", "''") for x in lines))
+    return f"SELECT * FROM (VALUES {rows}) t(pos, line)"
+
+
+@query(_lines_sql(["root", " |-- r_regionkey: integer (nullable = true)", " |-- r_name: string (nullable = true)", ""]))
+def nested_print_schema(spark, d):
+    text = _printed(lambda: nested.print_schema(table(spark, d, "region"))).rstrip("\n")
+    return _lines(spark, text + "\n\n")
+
+
+@query(
+    "SELECT 'lines' AS name, round(sum(n * n) / sum(n), 2) AS growth FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)"
+    " UNION ALL SELECT 'nations', round(sum(n * n) / sum(n), 2) FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey) UNION ALL SELECT 'keys', 1.0"
+)
+def diff_growth(spark, d):
+    found = [("lines", self_join_growth(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])), *zip(("nations", "keys"), growth_by_column(table(spark, d, "customer"), [F.col("c_nationkey"), F.col("c_custkey")]), strict=True)]
+    return spark.createDataFrame(found, "name string, growth double")
+
+
+@query(
+    "SELECT * FROM (VALUES ('growing join', 'CombinatorialExplosionError'), ('no key', 'DataframeComparisonException'), ('unknown key', 'AnalysisException'), ('no file', 'FileNotFoundError'),"
+    " ('write mode', 'IllegalArgumentException'), ('file exists', 'FileAlreadyExistsError'), ('assertion', 'AssertionError'), ('module', 'ImportError')) t(step, error)"
+)
+def refusals(spark, d):
+    customer, path = table(spark, d, "customer"), f"{_scratch(spark)}/a.txt"
+    filesystem.write_file("x", path)
+    steps = {
+        "growing join": lambda: compare_dataframes(customer, customer, ["c_nationkey"]),
+        "no key": lambda: compare_dataframes(customer.select("c_nationkey"), customer.select("c_nationkey")),
+        "unknown key": lambda: compare_dataframes(customer, customer, ["nope"]),
+        "no file": lambda: filesystem.read_file(path + ".none"),
+        "write mode": lambda: filesystem.write_file("y", path, "other"),
+        "file exists": lambda: filesystem.write_file("y", path),
+        "assertion": lambda: utils.assert_true(False, "no"),
+        "module": lambda: utils.load_external_module("no_such_module"),
+    }
+    rows = []
+    for step, f in steps.items():
+        try:
+            with contextlib.redirect_stdout(io.StringIO()):
+                f()
+            rows.append((step, "none"))
+        except Exception as e:  # noqa: BLE001  the query reports what is raised
+            rows.append((step, type(e).__name__))
+    return spark.createDataFrame(rows, "step string, error string")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (id % 5 <> 0) AS no_change, count(*) FILTER (id % 5 = 0) AS changed FROM (SELECT DISTINCT l_orderkey AS id FROM lineitem)")
+def diff_array_order(spark, d):
+    left = order_lines(spark, d)
+    turned = F.reverse("lines")
+    right = left.select("id", F.when(F.col("id") % 5 == 0, F.concat(turned, F.slice("lines", 1, 1))).otherwise(turned).alias("lines"))
+    s = compare_dataframes(left, right, ["id"]).diff_stats_shards[""]
+    return spark.createDataFrame([(s.total, s.no_change, s.changed)], "total bigint, no_change bigint, changed bigint")
+
+
+_NULL_KEYS = "SELECT CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey END AS a, CASE WHEN o_orderkey % 3 <> 0 OR o_orderkey % 4 <> 0 THEN o_orderkey ELSE -o_orderkey END AS b, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS s, o_orderkey AS k FROM orders"
+
+
+@query(
+    f"WITH l AS ({_NULL_KEYS}), r AS (SELECT a, b, CASE WHEN k % 7 = 0 THEN 'Z' ELSE s END AS s FROM l WHERE k % 11 <> 0), j AS (SELECT l.b AS lb, r.b AS rb, l.s IS NOT DISTINCT FROM r.s AS same FROM l FULL JOIN r ON l.a IS NOT DISTINCT FROM r.a AND l.b IS NOT DISTINCT FROM r.b)"
+    " SELECT count(*) AS total, count(*) FILTER (lb IS NOT NULL AND rb IS NOT NULL AND same) AS no_change, count(*) FILTER (lb IS NOT NULL AND rb IS NOT NULL AND NOT same) AS changed, count(*) FILTER (rb IS NULL) AS only_in_left, count(*) FILTER (lb IS NULL) AS only_in_right FROM j"
+)
+def diff_null_keys(spark, d):
+    k = F.col("o_orderkey")
+    whole = table(spark, d, "orders").select(F.when(k % 4 != 0, F.col("o_custkey")).alias("a"), F.when((k % 3 != 0) | (k % 4 != 0), k).otherwise(-k).alias("b"), F.when(k % 5 != 0, F.col("o_orderstatus")).alias("s"), k.alias("k"))
+    right = whole.where(k % 11 != 0).select("a", "b", F.when(F.col("k") % 7 == 0, "Z").otherwise(F.col("s")).alias("s"))
+    s = compare_dataframes(whole.drop("k"), right, ["a", "b"]).diff_stats_shards[""]
+    names = ["total", "no_change", "changed", "only_in_left", "only_in_right"]
+    return spark.createDataFrame([tuple(getattr(s, n) for n in names)], ", ".join(f"{n} bigint" for n in names))
+
+
+_TOP = "SELECT column_name, state, lv, rv, nb, id, row_number() OVER (PARTITION BY column_name, state ORDER BY nb DESC, lv NULLS FIRST, rv NULLS FIRST) AS row_num FROM (SELECT column_name, state, lv, rv, count(*) AS nb, min('{\"o_orderkey\":' || k || '}') AS id FROM v GROUP BY ALL)"
+
+
+@query(_DIFF + f"SELECT lk AS left_key, rk AS right_key FROM j WHERE '{{\"o_orderkey\":' || coalesce(lk, rk) || '}}' IN (SELECT id FROM ({_TOP}) WHERE row_num <= 2)")
+def diff_samples(spark, d):
+    (df,) = _diff(spark, d).get_sample_df_shards(2)
+    return df.select(F.col("o_orderkey.left_value").alias("left_key"), F.col("o_orderkey.right_value").alias("right_key"))
+
+
+@query(_DIFF + f"SELECT column_name, state, coalesce(lv, rv) AS value, CASE WHEN state = 'changed' THEN rv END AS other, nb FROM ({_TOP}) WHERE row_num <= 3")
+def diff_column_values(spark, d):
+    per = _diff(spark, d).get_diff_per_col_df(3)
+    parts = [per.select("column_name", F.lit("changed").alias("state"), F.inline("diff.changed")).select("column_name", "state", F.col("left_value").alias("value"), F.col("right_value").alias("other"), "nb")]
+    for state in ("no_change", "only_in_left", "only_in_right"):
+        parts.append(per.select("column_name", F.lit(state).alias("state"), F.inline(F.col("diff")[state])).select("column_name", "state", "value", F.lit(None).cast("string").alias("other"), "nb"))
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM nation) SELECT * FROM (SELECT 'same' AS step, true AS same_schema, true AS same_data, true AS is_ok, n AS total FROM n UNION ALL SELECT 'column', false, false, false, n FROM n UNION ALL SELECT 'values', true, false, false, n FROM n UNION ALL SELECT 'type', false, true, false, n FROM n)")
+def diff_flags(spark, d):
+    n = table(spark, d, "nation")
+    others = {"same": n, "column": n.withColumn("more", F.lit(1)), "values": n.withColumn("n_name", F.lower("n_name")), "type": n.withColumn("n_regionkey", F.col("n_regionkey").cast("bigint"))}
+    found = [(k, compare_dataframes(n, other, ["n_nationkey"])) for k, other in others.items()]
+    return spark.createDataFrame([(k, r.same_schema, r.same_data, r.is_ok, r.total_nb_rows) for k, r in found], "step string, same_schema boolean, same_data boolean, is_ok boolean, total bigint")
+
+
+@query(_lines_sql(["Schema: ok (2 columns)", "diff NOT ok", "Row count changed: ", "old: 5 rows", "new: 4 rows (1 less)", "3 (60.0%) rows are identical", "1 (20.0%) rows have changed", "1 (20.0%) rows are only in 'old'", "0 (0.0%) rows are only in 'new'"]))
+def diff_report(spark, d):
+    left = table(spark, d, "region")
+    right = left.where("r_regionkey > 0").withColumn("r_name", F.when(F.col("r_regionkey") == 4, "X").otherwise(F.col("r_name")))
+    r = compare_dataframes(left, right, ["r_regionkey"])
+    said = _printed(lambda: r.display(diff_format_options=DiffFormatOptions(left_df_alias="old", right_df_alias="new")))
+    return _lines(spark, "\n".join(x for x in said.splitlines() if x and not x.startswith(("+", "|", "Found", "Most")) and "only found" not in x))
+
+
+@query("SELECT true AS is_page, true AS has_title, true AS shows_change, true AS escaped")
+def diff_html(spark, d):
+    left = table(spark, d, "region")
+    r = compare_dataframes(left, left.withColumn("r_name", F.when(F.col("r_regionkey") == 4, "<b>X").otherwise(F.col("r_name"))), ["r_regionkey"])
+    path = f"{_scratch(spark)}/report.html"
+    r.export_to_html("Regions & more", path)
+    page = filesystem.read_file(path)
+    return spark.createDataFrame([("<html" in page, "Regions &amp; more" in page, "&lt;b&gt;X" in page, "<b>X" not in page)], "is_page boolean, has_title boolean, shows_change boolean, escaped boolean")
+
+
+@query("SELECT * FROM (VALUES ('written', 'one'), ('appended', 'one two'), ('replaced', 'three é'), ('listed', 'a.txt sub/b.txt'), ('copied file', 'three é'), ('copied folder', 'a.txt=three é sub/b.txt=b')) t(step, text)")
+def files(spark, d):
+    folder = _scratch(spark)
+    path, rows = f"{folder}/a.txt", []
+    for step, text, mode in (("written", "one", "error_if_exists"), ("appended", " two", "append"), ("replaced", "three é", "overwrite")):
+        filesystem.write_file(text, path, mode)
+        rows.append((step, filesystem.read_file(path)))
+    filesystem.write_file("b", f"{folder}/sub/b.txt")
+    rows.append(("listed", " ".join(sorted(x.split(folder.split("/")[-1] + "/")[1] for x in filesystem.recursively_list_all_files_in_folder(folder)))))
+    # copies are local by their nature: what they hold comes back in the result
+    with tempfile.TemporaryDirectory() as local:
+        filesystem.copy_to_local_file(path, f"{local}/c.txt")
+        filesystem.copy_to_local_folder(folder, f"{local}/all")
+        rows.append(("copied file", Path(f"{local}/c.txt").read_text(encoding="utf8")))
+        rows.append(("copied folder", " ".join(f"{x}={Path(local, 'all', x).read_text(encoding='utf8')}" for x in ("a.txt", "sub/b.txt"))))
+    return spark.createDataFrame(rows, "step string, text string")
+
+
+@query("SELECT c_custkey AS id, 'name' AS key, upper(c_name) AS value FROM customer UNION ALL SELECT c_custkey, 'segment', upper(c_mktsegment) FROM customer")
+def stream_row_wise(spark, d):
+    """A stream of files through row-wise operators into Parquet files."""
+    folder = _scratch(spark)
+    table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")).alias("s")).repartition(3).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+    upper = lambda c, t: F.upper(c) if isinstance(t, T.StringType) else None
+    steps = ((nested.select, {"id": None, "name": lambda df: df["s.name"], "segment": lambda df: df["s.segment"]}), (tr.transform_all_fields, upper), (tr.unpivot, ["id"]))
+    run_available(transform_stream(stream, *steps), f"{folder}/out", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("SELECT * FROM (VALUES (0, 'a'), (1, 'b!'), (2, 'c!.d'), (3, 'm%key'), (4, 'm%value')) t(pos, field)")
+def schema_from_simple_string(spark, d):
+    schema = schema_utils.schema_from_simple_string("struct<a:int,b:array<string>,c:array<struct<d:double>>,m:map<string,int>>")
+    return spark.createDataFrame(list(enumerate(nested.fields(spark.createDataFrame([], schema)))), "pos int, field string")
+
+
+@query("SELECT * FROM (VALUES ('show', '+-----------+| 1||r_regionkey|| 0|'), ('schema', ' |-- r_regionkey: integer (nullable = true)'), ('margin', 'a/ b'), ('group', '1:a,c 2:b'), ('module', 'json'), ('session', 'true'), ('type', 'double'), ('no type', 'none')) t(name, value)")
+def helpers(spark, d):
+    one = table(spark, d, "region").where("r_regionkey = 0").select("r_regionkey")
+    field = lambda t: T.StructField("x", t)
+    rows = [
+        ("show", "+-----------+| 1||r_regionkey|| 0|" if utils.show_string(one).split() == ["+-----------+", "|r_regionkey|", "+-----------+", "|", "0|", "+-----------+"] else utils.show_string(one)),
+        ("schema", utils.schema_string(one).splitlines()[1]),
+        ("margin", "/".join(utils.strip_margin("\n  |a\n  | b\n").splitlines())),
+        ("group", " ".join(f"{k}:{','.join(v)}" for k, v in utils.group_by_key([(1, "a"), (2, "b"), (1, "c")]).items())),
+        ("module", utils.load_external_module("json").__name__),
+        ("session", str(utils.get_instantiated_spark_session() is not None).lower()),
+        ("type", data_type_utils.find_common_type_for_fields(field(T.LongType()), field(T.DoubleType()))),
+        ("no type", str(data_type_utils.find_common_type_for_fields(field(T.LongType()), field(T.ArrayType(T.LongType())))).lower()),
+    ]
+    return spark.createDataFrame(rows, "name string, value string")
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS name FROM nation")
+def nullable_nulls(spark, d):
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), SF.nullable(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name"))).alias("name"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id % 3 AS first, CAST(5 AS BIGINT) AS second FROM events")
+def parse_json_several(spark, d):
+    df = table(spark, d, "events").select("event_id", "props", F.concat(F.lit("["), (F.col("event_id") % 3).cast("string"), F.lit(", 5]")).alias("list"))
+    return tr.parse_json_columns(df, {"props": "p", "list": "q"}).select("event_id", "p.k", F.col("q")[0].alias("first"), F.col("q")[1].alias("second"))
+
+
+_CYCLES = "SELECT c_custkey AS id, CASE WHEN c_custkey <= 3 THEN c_custkey % 3 + 1 WHEN c_custkey = 4 THEN 1 WHEN c_custkey > 5 THEN c_custkey // 2 END AS parent FROM customer"
+
+
+@query(f"WITH RECURSIVE n AS ({_CYCLES}), up AS (SELECT id, id AS cur, 0 AS k FROM n UNION ALL SELECT up.id, n.parent, k + 1 FROM up JOIN n ON n.id = up.cur WHERE n.parent IS NOT NULL AND k < 40), ends AS (SELECT up.id, cur FROM up JOIN n ON n.id = up.cur WHERE n.parent IS NULL) SELECT n.id, ends.cur AS parent FROM n LEFT JOIN ends ON ends.id = n.id")
+def forest_with_cycles(spark, d):
+    k = F.col("c_custkey")
+    df = table(spark, d, "customer").select(k.alias("id"), F.when(k <= 3, k % 3 + 1).when(k == 4, 1).when(k > 5, F.floor(k / 2)).alias("parent"))
+    return graph.ascending_forest_traversal(df, "id", "parent")
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: a profile, at both granularities, of orders joined with their lines."""
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderstatus")
