@@ -17,6 +17,7 @@ import pickle
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ class Lattice:
     """Pieces of a model, their compatibility, and shortest paths between states."""
 
     #: Bytes that remembered words (with and without a mark in front), ends of words and pairs of pieces may take.
-    WORD_BYTES, BARE_BYTES, TAIL_BYTES, PAIRS = 48 << 20, 16 << 20, 2 << 20, 200_000
+    WORD_BYTES, BARE_BYTES, TAIL_BYTES, PAIRS = 80 << 20, 16 << 20, 2 << 20, 200_000
 
     def __init__(self, model: bytes) -> None:
         import sentencepiece
@@ -113,11 +114,8 @@ class Lattice:
                 self.pairs, self.n_pairs = {a: {b: got}}, 1
         return got
 
-    def forward(self, text: str, begin: int, end: int, before: int | None) -> dict[int, tuple[int, int]]:
-        """For each reachable place from begin to end: (start, piece) of the last piece of the path of weight 0 to it.
-
-        before: the piece that ends at begin, None at a text's start or at the start of a word.
-        """
+    def _reach(self, text: str, begin: int, end: int, before: int | None) -> tuple[list[int], list[int]]:
+        """By place from begin (0) to end: start (-1: not reachable) and piece of the last piece of the path of weight 0 to it."""
         size = end - begin
         starts, found = [-1] * (size + 1), [0] * (size + 1)
         table, pairs, weight = self.table.get, self.pairs, self.weight
@@ -146,7 +144,30 @@ class Lattice:
                             row = self.pairs.get(prev)
                     if ok:
                         starts[e - begin], found[e - begin] = at, k
-        return {begin + e: (begin + starts[e], found[e]) for e in range(1, size + 1) if starts[e] >= 0}
+        return starts, found
+
+    def forward(self, text: str, begin: int, end: int, before: int | None) -> dict[int, tuple[int, int]]:
+        """For each reachable place from begin to end: (start, piece) of the last piece of the path of weight 0 to it.
+
+        before: the piece that ends at begin, None at a text's start or at the start of a word.
+        """
+        starts, found = self._reach(text, begin, end, before)
+        return {begin + e: (begin + starts[e], found[e]) for e in range(1, end - begin + 1) if starts[e] >= 0}
+
+    def _plain(self, w: str) -> bytes:
+        """Ids of a stretch that nothing divides."""
+        starts, found = self._reach(w, 0, len(w), None)
+        out: list[int] = []
+        e = len(w)
+        while e > 0:
+            s = starts[e]
+            if found[e] >= 0:
+                out.append(found[e])
+            else:
+                out += [self.byte_ids[b] for b in reversed(w[s:e].encode())]
+            e = s
+        out.reverse()
+        return array("i", out).tobytes()
 
     def spelled(self, text: str, path: Iterable[tuple[int, int, int]]) -> bytes:
         out: list[int] = []
@@ -167,12 +188,14 @@ class Lattice:
 
     def word(self, w: str) -> bytes:
         """Ids of a word that starts with word-start marks, or of a stretch without any at a text's beginning or after a lone character."""
+        if w.lstrip(SPACE).isalpha():
+            return self._plain(w)
         if self.lone is not None and self.lone.search(w) is not None:
             first, *others = self.lone.split(w)
             return (self.word(first) if first else b"") + b"".join([self.bare[p] if k % 2 else self.spelled(p, [(0, 1, self.table.get(p, UNKNOWN))]) for k, p in enumerate(others) if p])
         m = self.tail.fullmatch(w)
         if m is None:
-            return self.spelled(w, self.trace(w, self.forward(w, 0, len(w), None), 0, len(w)))
+            return self._plain(w)
         body = self.words[m[1][1:]] if m[1][:1] == SPACE and m[1][1:2] != SPACE else self.word(m[1])
         return body + self.tails[m[2]]
 
