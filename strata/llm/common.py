@@ -138,16 +138,33 @@ class Recent(dict):
 
     def __missing__(self, key):
         got = self.old.get(key)
-        if got is None:
-            got = self.find(key)
-        self.held += sys.getsizeof(key) + sys.getsizeof(got) + self.ENTRY
-        if self.held > self.room:
-            self.old = dict(self)
-            self.clear()
-            self.held = 0
-        self[key] = got
+        return self.keep(key, self.find(key) if got is None else got)
+
+    def keep(self, key, got):
+        self.keep_all({key: got})
         return got
 
+    def held_of(self, keys: set) -> dict:
+        """What is held of keys; values come back from the old generation."""
+        found = {k: got for k in keys if (got := self.get(k)) is not None}
+        back = {k: got for k in keys if k not in found and (got := self.old.get(k)) is not None} if self.old else {}
+        self.keep_all(back)
+        return found | back
+
+    def keep_all(self, found: dict) -> None:
+        size = sum(map(sys.getsizeof, found)) + sum(map(sys.getsizeof, found.values())) + self.ENTRY * len(found)
+        if self.held + size <= self.room:
+            self.held += size
+            self.update(found)
+            return
+        for key, got in found.items():
+            self.held += sys.getsizeof(key) + sys.getsizeof(got) + self.ENTRY
+            if self.held > self.room:
+                self.old = dict(self)
+                self.clear()
+                self.held = 0
+            self[key] = got
+
 
 # --- columns ---------------------------------------------------------------
 

@@ -40,11 +40,97 @@ State = tuple[int, int, int]
 Matrix = dict[State, dict[State, float]]
 
 
+class Slots:
+    """Numbers from 0 by whole-number keys from 0, asked for in whole arrays; open addressing in 2^bits slots."""
+
+    def __init__(self, bits: int) -> None:
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        self.shift, self.mask, self.n = np.uint64(64 - bits), (1 << bits) - 1, 0
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys, -1 where there is none."""
+        at = self._home(keys)
+        got = self.keys[at]
+        hit = got == keys
+        out = np.where(hit, self.values[at], np.int32(-1))
+        left = np.flatnonzero(~hit & (got >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            got = self.keys[at[left]]
+            hit = got == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (got >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add distinct keys that are not there yet; there must be room."""
+        self.n += len(keys)
+        at = self._home(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            mine = free & (self.keys[at] == keys)
+            self.values[at[mine]] = values[mine]
+            keys, values, at = keys[~mine], values[~mine], (at[~mine] + 1) & self.mask
+
+
+class Merges:
+    """How each piece comes out of merging, step by step, and whether two pieces that stand side by side stay apart.
+
+    A state is the leftmost and the rightmost symbol of a piece between two merges. Side by side, the better next merge goes first
+    and the left one among equals, so the pair stays apart exactly if the merge across never goes first.
+    """
+
+    LAST = np.int32(2**31 - 1)
+
+    def __init__(self, lattice: Lattice, histories: dict[int, list[tuple[float, str, str]]]) -> None:
+        symbols = dict(lattice.ids)
+        for p in lattice.ids:
+            for c in p:
+                symbols.setdefault(c, len(lattice.pieces) + len(symbols))
+        best_first = np.unique(-np.array(lattice.scores))
+        ranks = np.searchsorted(best_first, -np.array(lattice.scores)).tolist()
+        self.first = np.zeros(len(lattice.pieces), np.int64)
+        left: list[int] = []
+        right: list[int] = []
+        losses: list[float] = []
+        for k, steps in histories.items():
+            p = lattice.pieces[k]
+            self.first[k] = len(left)
+            left += [symbols[p[0]], *[symbols[x] for _, x, _ in steps]]
+            right += [symbols[p[-1]], *[symbols[y] for _, _, y in steps]]
+            losses += [*[-w for w, _, _ in steps], np.inf]
+        self.left, self.right = np.array(left, np.int64), np.array(right, np.int64)
+        self.following = np.where(np.isinf(losses), self.LAST, np.searchsorted(best_first, losses).astype(np.int32))
+        joins = {symbols[p[:e]] << 21 | symbols[p[e:]]: ranks[k] for p, k in lattice.ids.items() for e in range(1, len(p)) if p[:e] in symbols and p[e:] in symbols}
+        self.joins = Slots(max(1, 2 * len(joins)).bit_length() + 1)
+        self.joins.put(np.fromiter(joins.keys(), np.int64, len(joins)), np.fromiter(joins.values(), np.int32, len(joins)))
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        i, j = self.first[a], self.first[b]
+        ok = np.ones(len(a), bool)
+        asked = np.arange(len(a))
+        while len(asked):
+            across = self.joins.find(self.right[i] << 21 | self.left[j])
+            x, y = self.following[i], self.following[j]
+            bad = (across >= 0) & (across < x) & (across <= y)
+            ok[asked[bad]] = False
+            more = ~bad & (np.minimum(x, y) < self.LAST)
+            on_left = x <= y
+            i, j, asked = (i + on_left)[more], (j + ~on_left)[more], asked[more]
+        return ok
+
+
 class Lattice:
     """Pieces of a model, their compatibility, and shortest paths between states."""
 
-    #: Bytes that remembered words (with and without a mark in front), ends of words and pairs of pieces may take.
-    WORD_BYTES, BARE_BYTES, TAIL_BYTES, PAIRS = 48 << 20, 16 << 20, 2 << 20, 200_000
+    #: Bytes that remembered words and ends of words may take, and how many pairs of pieces are remembered: one by one, and as 2^bits slots.
+    WORD_BYTES, TAIL_BYTES, PAIRS, PAIR_BITS = 48 << 20, 2 << 20, 200_000, 20
+    #: Stretches up to so many characters are solved together, so many characters at once.
+    SHORT, TOGETHER = 128, 1 << 17
 
     def __init__(self, model: bytes) -> None:
         import sentencepiece
@@ -65,17 +151,28 @@ class Lattice:
         self.pairs: dict[int, dict[int, bool]] = {}
         self.n_pairs = 0
         self.words = Recent(lambda w: self.word(SPACE + w), self.WORD_BYTES)
-        self.bare = Recent(self.word, self.BARE_BYTES)
         self.tails = Recent(self.word, self.TAIL_BYTES)
         #: Every beginning of a piece: the piece's id, or PREFIX if it is none or can never come out of merging.
         self.table: dict[str, int] = {}
+        histories: dict[int, list[tuple[float, str, str]]] = {}
         for p, k in self.ids.items():
             for e in range(1, len(p)):
                 self.table.setdefault(p[:e], PREFIX)
-            if self.merged(p) == [p]:
+            steps: list[tuple[float, str, str]] = []
+            if self.merged(p, steps) == [p]:
                 self.table[p] = k
+                histories[k] = steps
             else:
                 self.table.setdefault(p, PREFIX)
+        self.merges = Merges(self, histories)
+        self.known_pairs = Slots(self.PAIR_BITS)
+        # the same beginnings as numbered nodes, from 0 for the empty one
+        nodes = {t: n for n, t in enumerate(self.table, 1)}
+        nodes[""] = 0
+        self.node_piece = np.array([PREFIX, *self.table.values()], np.int32)
+        children = {nodes[t[:-1]] << 21 | ord(t[-1]): n for t, n in nodes.items() if t}
+        self.children = Slots(max(1, 2 * len(children)).bit_length() + 1)
+        self.children.put(np.fromiter(children.keys(), np.int64, len(children)), np.fromiter(children.values(), np.int32, len(children)))
         # characters that are in no piece but their own: nothing reaches over them
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         lone = [c for c in map(chr, range(128)) if c not in joined]
@@ -85,8 +182,11 @@ class Lattice:
         breaks = [c for c in map(chr, range(128)) if not c.isalnum() and c != "_" and c not in after]
         self.tail = re.compile(f"({SPACE}*[^\\W_]+)([{re.escape(''.join(breaks))}].*)", re.DOTALL) if breaks else re.compile("(?!)()()")
 
-    def merged(self, text: str) -> list[str]:
-        """Characters merged pairwise, the best-scored piece first, leftmost among equals. Only for pieces and pairs of pieces."""
+    def merged(self, text: str, steps: list[tuple[float, str, str]] | None = None) -> list[str]:
+        """Characters merged pairwise, the best-scored piece first, leftmost among equals. Only for pieces and pairs of pieces.
+
+        steps gets, for each merge, its score and the first and last symbol after it.
+        """
         s = list(text)
         while True:
             best, at = None, -1
@@ -97,6 +197,8 @@ class Lattice:
             if best is None:
                 return s
             s[at : at + 2] = [s[at] + s[at + 1]]
+            if steps is not None:
+                steps.append((best, s[0], s[-1]))
 
     def weight(self, a: int, b: int) -> bool:
         """Whether the pair weighs 0. A character without a piece merges with nothing."""
@@ -186,47 +288,150 @@ class Lattice:
             e = s
         return path[::-1]
 
-    def word(self, w: str) -> bytes:
-        """Ids of a word that starts with word-start marks, or of a stretch without any at a text's beginning or after a lone character."""
+    def stretches(self, w: str) -> list[str]:
+        """What a word (with its word-start marks, or without any at a text's beginning) divides into; no piece reaches from one to the next."""
         if w.lstrip(SPACE).isalpha():
-            return self._plain(w)
+            return [w]
         if self.lone is not None and self.lone.search(w) is not None:
-            first, *others = self.lone.split(w)
-            return (self.word(first) if first else b"") + b"".join([self.bare[p] if k % 2 else self.spelled(p, [(0, 1, self.table.get(p, UNKNOWN))]) for k, p in enumerate(others) if p])
+            return [x for k, p in enumerate(self.lone.split(w)) if p for x in ([p] if k % 2 else self.stretches(p))]
         m = self.tail.fullmatch(w)
-        if m is None:
-            return self._plain(w)
-        body = self.words[m[1][1:]] if m[1][:1] == SPACE and m[1][1:2] != SPACE else self.word(m[1])
-        return body + self.tails[m[2]]
+        return [w] if m is None else [m[1], m[2]]
 
-    def _known(self, word: str) -> bytes:
-        """A very long word is not remembered."""
-        return self.words[word] if len(word) <= 64 else self.word(SPACE + word)
+    def word(self, w: str) -> bytes:
+        """Ids of one word."""
+        return b"".join([self.tails[p] if p != w and p[0] != SPACE else self._plain(p) for p in self.stretches(w)]) if w else b""
+
+    def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether pairs of pieces weigh 0, remembered up to half of the slots."""
+        keys = a.astype(np.int64) << 21 | b
+        got = self.known_pairs.find(keys)
+        new = np.flatnonzero(got < 0)
+        if len(new):
+            fresh, back = np.unique(keys[new], return_inverse=True)
+            ok = self.merges.apart(fresh >> 21, fresh & (1 << 21) - 1)
+            got[new] = ok[back]
+            if self.known_pairs.n + len(fresh) > 1 << self.PAIR_BITS - 1:
+                self.known_pairs = Slots(self.PAIR_BITS)
+            if len(fresh) <= 1 << self.PAIR_BITS - 1:
+                self.known_pairs.put(fresh, ok.astype(np.int32))
+        return got > 0
+
+    def _plain_together(self, words: list[str]) -> list[bytes]:
+        """_plain of each of many short stretches: the scan takes one place of all stretches at a time."""
+        if not words:
+            return []
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes)
+        of = np.repeat(np.arange(len(words)), sizes)
+        stop = ends[of]
+        at = np.arange(len(chars))
+        start, node, size = at, np.zeros(len(at), np.int64), 0
+        starts, stops, pieces = [], [], []
+        while len(start):
+            node = self.children.find(node << 21 | chars[start + size]).astype(np.int64)
+            if size == 0:
+                alone = start[node < 0]
+                starts.append(alone)
+                stops.append(alone + 1)
+                pieces.append(np.full(len(alone), UNKNOWN, np.int32))
+            start, node, size = start[node >= 0], node[node >= 0], size + 1
+            k = self.node_piece[node]
+            starts.append(start[k >= 0])
+            stops.append(start[k >= 0] + size)
+            pieces.append(k[k >= 0])
+            inside = start + size < stop[start]
+            start, node = start[inside], node[inside]
+        edge_start, edge_stop, edge_piece = np.concatenate(starts), np.concatenate(stops), np.concatenate(pieces)
+        depth = (edge_start - (ends - sizes)[of[edge_start]]).astype(np.int16)
+        order = np.argsort(depth, kind="stable")
+        edge_start, edge_stop, edge_piece = edge_start[order], edge_stop[order], edge_piece[order]
+        bounds = np.searchsorted(depth[order], np.arange(int(sizes.max()) + 1))
+        # a word of n characters has n + 1 places: place = character + word
+        came, found = np.full(len(chars) + len(words), -1, np.int64), np.full(len(chars) + len(words), UNKNOWN, np.int32)
+        begin = ends - sizes + np.arange(len(words))
+        came[begin] = begin
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            shift = of[edge_start[lo:hi]]
+            s, e, k = edge_start[lo:hi] + shift, edge_stop[lo:hi] + shift, edge_piece[lo:hi]
+            reached = came[s] >= 0
+            s, e, k = s[reached], e[reached], k[reached]
+            prev = found[s]
+            ok = (prev < 0) | (k < 0)
+            ask = np.flatnonzero(~ok)
+            ok[ask] = self._apart(prev[ask], k[ask])
+            came[e[ok]], found[e[ok]] = s[ok], k[ok]
+        place = ends + np.arange(len(words))
+        left = np.flatnonzero(sizes > 0)
+        taken_word, taken_piece = [], []
+        while len(left):
+            e = place[left]
+            if (came[e] < 0).any():
+                raise ValueError("no path leads to a place that one was traced to")
+            taken_word.append(left)
+            taken_piece.append(found[e])
+            place[left] = came[e]
+            left = left[place[left] > begin[left]]
+        who, ids = np.concatenate(taken_word[::-1]), np.concatenate(taken_piece[::-1])
+        by_word = np.argsort(who, kind="stable")
+        who, ids = who[by_word], ids[by_word]
+        spelled = np.zeros(len(words), bool)
+        spelled[who[ids < 0]] = True
+        data = ids.astype("<i4").tobytes()
+        cuts = (4 * np.searchsorted(who, np.arange(len(words) + 1))).tolist()
+        return [self._plain(w) if own else data[a:b] for w, own, a, b in zip(words, spelled.tolist(), cuts, cuts[1:], strict=False)]
+
+    def _solved(self, keys: set[str]) -> dict[str, bytes]:
+        """Ids by key: a word after one mark is its own key, one after several goes with all its marks."""
+        known = self.words.held_of(keys)
+        simple: list[str] = []
+        divided: dict[str, list[str]] = {}
+        for key in keys:
+            if key not in known:
+                if key.isalpha():
+                    simple.append(key)
+                else:
+                    divided[key] = self.stretches(key if key[:1] == SPACE else SPACE + key)
+        known.update(zip(simple, self._each([SPACE + w for w in simple]), strict=True))
+        # a stretch after one mark may be a word of its own
+        parts = {p for ps in divided.values() for p in ps}
+        bodies = {p[1:] for p in parts if p[0] == SPACE and p[1:2] != SPACE}
+        asked = {SPACE + w: got for w in bodies if (got := known.get(w)) is not None} | {SPACE + w: got for w, got in self.words.held_of(bodies).items()} | self.tails.held_of(parts)
+        todo = [p for p in parts if p not in asked]
+        new = dict(zip(todo, self._each(todo), strict=True))
+        self.tails.keep_all({p: got for p, got in new.items() if p[0] != SPACE and len(p) <= 16})
+        asked |= new
+        known.update((key, asked[ps[0]] if len(ps) == 1 else b"".join([asked[p] for p in ps])) for key, ps in divided.items())
+        self.words.keep_all({key: known[key] for key in [*simple, *divided] if len(key) <= 64 and key[:1] != SPACE})
+        return known
+
+    def _each(self, stretches: list[str]) -> list[bytes]:
+        """_plain of each: short ones together, so many characters at once, and long ones one by one."""
+        out: list[bytes] = []
+        todo, held = [], 0
+        for p in stretches:
+            held += len(p)
+            if len(p) > self.SHORT or held > self.TOGETHER:
+                out += self._plain_together(todo)
+                todo, held = [], len(p)
+            if len(p) > self.SHORT:
+                out.append(self._plain(p))
+                held = 0
+            else:
+                todo.append(p)
+        return out + self._plain_together(todo)
 
     def run(self, text: str) -> bytes:
         """Ids of a stretch that begins with a mark at a word start (or is a text's beginning) and ends at a word start."""
         head, *parts = text.split(SPACE)
-        return (self.word(head) if head else b"") + self._after_marks(parts)
-
-    def whole(self, text: str) -> bytes:
-        """Ids of a whole text, as run(normalise(text)) gives them."""
-        if not text:
-            return b""
-        return self.run(normalise(text)) if SPACE in text else self._after_marks(text.split(" "))
-
-    def _after_marks(self, parts: list[str]) -> bytes:
-        """Ids of what stands after each of a stretch's marks."""
-        if "" not in parts and max(map(len, parts), default=0) <= 64:
-            return b"".join(map(self.words.__getitem__, parts))
-        made, marks = [], 0
-        for p in parts:
-            marks += 1
-            if p:
-                made.append(self._known(p) if marks == 1 else self.word(SPACE * marks + p))
-                marks = 0
-        if marks:
-            made.append(self.word(SPACE * marks))
-        return b"".join(made)
+        keys = _keys(parts)
+        return (self.word(head) if head else b"") + b"".join(map(self._solved(set(keys)).__getitem__, keys))
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, as run(normalise(text)) gives them; words of all of them are solved together."""
+        split = [_keys((t.replace(SPACE, " ") if SPACE in t else t).split(" ")) if t else [] for t in texts]
+        known = self._solved(set().union(*split))
+        return [b"".join(map(known.__getitem__, keys)) for keys in split]
 
     # --- chunks: text holds up to `longest` characters of context on both sides; a and b are its cuts ---
 
@@ -301,6 +506,21 @@ def _word_starts(text: str, lo: int, hi: int) -> Iterator[int]:
         yield j
 
 
+def _keys(parts: list[str]) -> list[str]:
+    """What stands after each of a stretch's marks, as keys of words: after several marks, all of them are part of the key."""
+    if "" not in parts:
+        return parts
+    keys, marks = [], 0
+    for p in parts:
+        marks += 1
+        if p:
+            keys.append(p if marks == 1 else SPACE * marks + p)
+            marks = 0
+    if marks:
+        keys.append(SPACE * marks)
+    return keys
+
+
 def multiply(x: Matrix, y: Matrix) -> Matrix:
     """Max-plus product; pairs that are missing weigh minus infinity."""
     out: Matrix = {}
@@ -451,7 +671,7 @@ def _encoded(docs: DataFrame, model: bytes, id_col: str, text_col: str, chunk: i
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(sent.value)
         for batch in slices(batches, "text", _BATCH):
-            yield finished(batch.column(0), _int_lists([lattice.whole(t) for t in batch.column(1).to_pylist()]), batch.column(1))
+            yield finished(batch.column(0), _int_lists(lattice.whole(batch.column(1).to_pylist())), batch.column(1))
 
     def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", _BATCH):

@@ -26,7 +26,7 @@ def ids_of(data):
 @given(texts)
 def test_words_equal_the_library(text):
     ids = ids_of(LATTICE.run(normalise(text)))
-    assert ids == ids_of(LATTICE.whole(text)) == LIBRARY.encode(text)
+    assert ids == ids_of(LATTICE.whole([text])[0]) == LIBRARY.encode(text)
     flat = np.array(ids * 2, np.int64)
     assert SPELLING.texts(flat, np.array([0, len(ids), len(ids), len(flat)])).to_pylist() == [text.replace(SPACE, " "), "", text.replace(SPACE, " ")]
     assert LIBRARY.decode(ids) == text.replace(SPACE, " ")
@@ -106,14 +106,34 @@ def test_ids_that_spell_no_utf8():
 
 def test_caches_are_bounded_and_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(Lattice, "WORD_BYTES", 4000)
-    monkeypatch.setattr(Lattice, "BARE_BYTES", 2000)
     monkeypatch.setattr(Lattice, "TAIL_BYTES", 2000)
     monkeypatch.setattr(Lattice, "PAIRS", 5)
     small, r = Lattice(MODEL), rng(3)
     for _ in range(30):
         text = "\n".join(words(r, 20).replace("w", r.choice(["The", "x.", "é"])) for _ in range(3))
-        assert ids_of(small.whole(text)) == LIBRARY.encode(text)
-    assert max(len(small.words), len(small.words.old), len(small.bare), len(small.tails)) < 25
+        assert ids_of(small.whole([text])[0]) == LIBRARY.encode(text)
+    assert max(len(small.words), len(small.words.old), len(small.tails)) < 25
+
+
+def test_many_texts_at_once_equal_the_library(monkeypatch):
+    monkeypatch.setattr(Lattice, "TOGETHER", 300)
+    r = rng(7)
+    long_words = ["ab" * 100, "x" * 127, "y" * 128, "ÿ中" * 80, "fooBar," * 30, "..." * 50, SPACE * 3 + "a", ""]
+    made = [" ".join(r.choice([*long_words, *(w.replace("w", r.choice(["The", "é!", "naïve-"])) for w in words(r, 30))]) for _ in range(r.randrange(60))) for _ in range(40)]
+    assert [ids_of(x) for x in LATTICE.whole(made)] == LIBRARY.encode(made)
+    assert LATTICE.whole([]) == [] and LATTICE.whole(["", "\x00"])[0] == b""
+
+
+def test_pairs_of_pieces_stay_apart_as_merging_says():
+    r = rng(8)
+    plain = [k for p, k in LATTICE.ids.items() if LATTICE.merged(p) == [p]]
+    a, b = (np.array([r.choice(plain) for _ in range(20_000)]) for _ in range(2))
+    # one piece cut in two gives pairs that merge across
+    halves = [(LATTICE.table.get(p[:e], -1), LATTICE.table.get(p[e:], -1)) for p in map(LATTICE.pieces.__getitem__, plain[::7]) for e in range(1, len(p))]
+    cut_pairs = np.array([h for h in halves if min(h) >= 0])
+    a, b = np.concatenate([a, cut_pairs[:, 0]]), np.concatenate([b, cut_pairs[:, 1]])
+    want = [LATTICE.merged(LATTICE.pieces[x] + LATTICE.pieces[y]) == [LATTICE.pieces[x], LATTICE.pieces[y]] for x, y in zip(a, b, strict=True)]
+    assert LATTICE.merges.apart(a, b).tolist() == want and 0 < sum(want) < len(want)
 
 
 def test_decoding_replaces_a_column_and_keeps_nulls(spark):
