@@ -141,7 +141,12 @@ class Recent(dict):
         return self.keep(key, self.find(key) if got is None else got)
 
     def keep(self, key, got):
-        self.keep_all({key: got})
+        self.held += sys.getsizeof(key) + sys.getsizeof(got) + self.ENTRY
+        if self.held > self.room:
+            self.old = dict(self)
+            self.clear()
+            self.held = 0
+        self[key] = got
         return got
 
     def held_of(self, keys: set) -> dict:
@@ -158,12 +163,7 @@ class Recent(dict):
             self.update(found)
             return
         for key, got in found.items():
-            self.held += sys.getsizeof(key) + sys.getsizeof(got) + self.ENTRY
-            if self.held > self.room:
-                self.old = dict(self)
-                self.clear()
-                self.held = 0
-            self[key] = got
+            self.keep(key, got)
 
 
 # --- columns ---------------------------------------------------------------
